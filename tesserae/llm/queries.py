@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import mixing, url_filter
+from tesserae.llm import mixing, quality, url_filter
 from tesserae.llm._shared import documents
 
 
@@ -18,8 +18,12 @@ def op6_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op6_weighted_mix)}
+    return {f.__name__: f for f in (op5_url_filter, op6_weighted_mix, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
