@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import mixing, near_dedup, quality, toxicity, url_filter
+from tesserae.llm import mixing, near_dedup, packing, quality, toxicity, url_filter
 from tesserae.llm._shared import documents
 
 
+def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op5_url_filter, op6_weighted_mix, op7_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op5_url_filter, op6_weighted_mix, op7_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
