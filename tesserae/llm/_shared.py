@@ -70,3 +70,31 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[Column], valu
 
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)  # noqa: SLF001
+
+
+def kth(rows: DataFrame, key: str, k: int, bins: int = 1024, direct: int = 50_000) -> float | None:
+    """The ``k``-th largest value of a double column (null if there are no more than ``k`` rows).
+
+    Histograms of ever narrower ranges find a range of few rows, which alone is
+    sorted. Only counts and scalars come to the driver; ``rows`` should be cheap to
+    read again.
+    """
+    n, lo, hi = rows.agg(F.count(key), F.min(key), F.max(key)).first()
+    if n <= k or k < 1:
+        return None
+    above = 0
+    while lo < hi:
+        width = (hi - lo) / bins
+        inside = rows.where((F.col(key) >= lo) & (F.col(key) <= hi))
+        bin_of = F.least(F.floor((F.col(key) - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+        found = inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy(F.desc("b")).collect()
+        for r in found:
+            if above + r["n"] >= k:
+                break
+            above += r["n"]
+        if (lo, hi) == (r["lo"], r["hi"]) or r["n"] <= direct:
+            lo, hi = r["lo"], r["hi"]
+            break
+        lo, hi = r["lo"], r["hi"]
+    inside = rows.where((F.col(key) >= lo) & (F.col(key) <= hi))
+    return inside.select(key).orderBy(F.desc(key)).limit(k - above).agg(F.min(key)).first()[0]
