@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, quality, toxicity, url_filter
+from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, url_filter
 from tesserae.llm._shared import documents
 
 
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -43,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op5_url_filter, op6_weighted_mix, op7_toxicity, op9_importance_resampling, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
