@@ -21,6 +21,8 @@ MOST = 2
 SEED = 17
 #: Rows that a bucket of a running sum should hold.
 BUCKET_ROWS = 50_000
+#: Rows of a plan that are few enough to be sent to every task; beyond, the join shuffles.
+FEW = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -129,8 +131,8 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     both, each is taken as often as one of them.
     """
     plan = schedule(docs, **options).groupBy("doc_id", "source").agg(F.max("passes").alias("__passes"), F.min("first_finish").alias("__finish"), F.first("target").alias("__target"), F.first("source_size").alias("__size"))
-    plan = plan.where("__passes > 0").withColumnsRenamed({"doc_id": "__id", "source": "__s"})
-    rows = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__s"]))
+    plan = checkpoint(plan.where("__passes > 0")).withColumnsRenamed({"doc_id": "__id", "source": "__s"})
+    rows = docs.join(F.broadcast(plan) if _few(plan, FEW) else plan, docs["doc_id"].cast("long").eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__s"]))
     rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
     turn = F.col("__finish") + (F.col("__pass") - 1) * F.col("__size") / F.col("__target")
     return rows.repartitionByRange(turn, F.col("doc_id")).sortWithinPartitions(turn, F.col("doc_id")).select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, url_filter
+from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
 from tesserae.llm._shared import documents
 
 
@@ -22,6 +22,10 @@ def op3_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -47,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op4_secret_scan, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
