@@ -1,11 +1,74 @@
-"""Corpus pipeline: rules, near copies, secrets, mixture, packing. Stages are filled in as their operators come."""
+"""From raw documents to packed sequences: quality rules, near-duplicate removal, secret redaction, source mixture, packing.
 
-STAGES = []
+Each stage works on all that the one before it kept. A driver that writes every
+stage's rows as Parquet and reads them again can use ``STAGES``; ``run`` does the
+same with reliable checkpoints.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm import mixing, near_dedup, packing, quality, secret_scan
+from tesserae.llm._shared import checkpoint, fresh
+
+#: Ids that are few enough to be sent to every task; beyond, the join shuffles.
+FEW = 2_000_000
+
+
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The documents but for those of which no row has ``kept``. A null ``doc_id`` is never dropped."""
+    bad = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias(key := fresh("__bad", docs.columns)))
+    bad = checkpoint(bad)
+    few = bad.limit(FEW + 1).count() <= FEW
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col(key), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the robust distances reject."""
+    return _without(docs, quality.judge(docs).select("doc_id", "kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least ``doc_id``; of rows that repeat it and its text, one."""
+    found = checkpoint(near_dedup.classes(docs).select("doc_id", "kept"))
+    kept = _without(docs, found)
+    repeated = not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secret_scan.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them, in its order."""
+    return mixing.mix(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("secret_scans", secrets),
+    ("mixing", mixture),
+    ("packing", sequences),
+]
+
+#: Hashes order the mixture and tokens fill the sequences: SQL can't express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = checkpoint(docs)
     return docs
