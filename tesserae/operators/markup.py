@@ -200,7 +200,7 @@ def sections(wikitext: str, least: int = MIN_SECTION) -> list[tuple[int, str, st
     """Position, heading, prose and links of the lead and the sections at level 2, deeper ones inside; apparatus and short ones dropped."""
     cuts = list(_HEADING.finditer(wikitext))
     spans = [("", wikitext[: cuts[0].start() if cuts else len(wikitext)])]
-    spans += [(m[1], wikitext[m.end() : n.start() if n else len(wikitext)]) for m, n in zip(cuts, [*cuts[1:], None], strict=True)]
+    spans += [(m[1], wikitext[m.end() : n.start() if n else len(wikitext)]) for m, n in zip(cuts, [*cuts, None][1:], strict=True)]
     out = []
     for raw, body in spans:
         heading = clean(raw)[0]
