@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +28,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """A table written as Parquet below the checkpoint folder, which all executors share: compressed, unlike a checkpoint. Drop it when done."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self._session = df.sparkSession
+        if self._session.sparkContext.getCheckpointDir() is None:
+            checkpoint(self._session.range(0))
+        self.path = f"{self._session.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.rows = self._session.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self._session._jvm  # noqa: SLF001
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self._session._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles and checkpoints of earlier rounds of a loop, which it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table ``documents`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -68,6 +94,13 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[Column], valu
     return joined.withColumn(out, F.col("__own") + F.coalesce(F.col(before), F.lit(0))).drop("__own", before, *(f"__r_{k}" for k in keys))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what a worker derives from them stays small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)  # noqa: SLF001
 
