@@ -1,14 +1,14 @@
 """Repeated 200-byte strings by a distributed merge sort of suffixes that uses common prefixes.
 
-Anchors, bytes picked by their surroundings (least hash of 85 neighbouring
-16-byte strings), stand in for all suffixes: the first 100 bytes of any 200-byte
-string hold one, and equal strings hold it at the same place. Suffixes whose first
-116 bytes occur once in the corpus are told by counting hashes and dropped, as in
+Anchors, bytes picked by their surroundings (least hash of 125
+neighbouring 16-byte strings), stand in for all suffixes: the first 140 bytes of any
+200-byte string hold one, and equal strings hold it at the same place. Suffixes whose
+first 76 bytes occur once in the corpus are told by counting hashes and dropped, as in
 string sorting by distinguishing prefixes. The others are sorted where they are,
 exchanged as front-coded sorted runs (each suffix without the prefix that it
 shares with the one before it), and merged by loser trees that carry common
 prefix lengths, so no known prefix is compared again. Neighbours in that order
-that agree on 116 bytes are compared to the left as well; an agreement of 200
+that agree on 76 bytes are compared to the left as well; an agreement of 200
 bytes or more in all marks the bytes it covers.
 
 Suffixes of a prefix with more than ``HOT`` occurrences aren't gathered in one
@@ -28,18 +28,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import checkpoint, pick, schema
+from tesserae.llm._shared import Written, checkpoint, pick, schema, slices
 
 LENGTH = 200
 GRAM = 16
-NEAR = 85  # GRAM-byte strings of which the least is an anchor; NEAR + GRAM - 1 bytes are half a string
+NEAR = 125  # GRAM-byte strings of which the least is an anchor
 LEFT = NEAR - 1
 CORE = LENGTH - LEFT
-#: Occurrences of a prefix beyond which its suffixes are handled by counting.
-HOT = 1_000
+#: Occurrences of a prefix beyond which its suffixes are handled by counting: half of what a merge should hold.
+HOT = 20_000
 #: Hashes of repeated prefixes that are few enough to go to every worker; beyond, anchors join them by a shuffle.
 FEW = 4_000_000
 #: Suffixes that one merge should hold, and merges at most.
@@ -91,7 +92,7 @@ def repeated_prefixes(texts: DataFrame) -> DataFrame:
     """``h, n``: hashes of the prefixes after anchors that occur more than once, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             found: list[int] = []
             for text in batch.column("text").to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
@@ -123,11 +124,12 @@ def front_coded(run: list[Suffix]) -> bytes:
         out.append(struct.pack("<BBBBQ", shared, len(right) - shared, len(left), n, at))
         out += (right[shared:], left, key)
         last = right
-    return b"".join(out)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def decoded(blob: bytes) -> tuple[list[Suffix], list[int]]:
     """The suffixes of a run, and the length that each shares with the one before it."""
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     (n,), at, last, run, lcps = struct.unpack_from("<I", blob), 4, b"", [], []
     unpack = struct.Struct("<BBBBQ").unpack_from
     for _ in range(n):
@@ -223,26 +225,43 @@ def _covered(group: list[Suffix], lcps: list[int]) -> Iterator[tuple[bytes, int,
             yield ka, pa_ - left, pa_ + r
             yield kb, pb - left, pb + r
         return
+    # what the nearest suffixes to the right and to the left share; if one of them shares the most on both sides, no other does better
+    shared = np.array(lcps)
+    right = {i: max(shared[i], shared[i + 1] if i + 1 < len(group) else 0) for i in lone}
+    by_left = sorted(first, key=lambda i: group[i][1])
+    agree = [0, *(common(group[x][1], group[y][1]) for x, y in zip(by_left, by_left[1:], strict=False)), 0]
+    left = {i: (max(agree[n], agree[n + 1]), by_left[n - 1] if n and agree[n] >= agree[n + 1] else by_left[min(n + 1, len(first) - 1)]) for n, i in enumerate(by_left)}
+    hard = []
+    for i in lone:
+        r, (most, other) = int(right[i]), left[i]
+        if r + most < LENGTH:
+            continue
+        near = i - 1 if i and shared[i] == r else i + 1
+        if most == 0 or common(group[i][1], group[near][1]) >= most or int(shared[min(i, other) + 1 : max(i, other) + 1].min()) >= r:
+            yield group[i][2], group[i][3] - most, group[i][3] + r
+        else:
+            hard.append(i)
+    if not hard:
+        return
     at = np.array(first)
-    before = np.zeros((len(first), LEFT), np.int16)
+    before = np.zeros((len(first), LEFT), np.int32)
     for row, i in enumerate(first):
         before[row] = -row - 1  # beyond the start of a text nothing agrees
         own = np.frombuffer(group[i][1], np.uint8)
         before[row, : len(own)] = own
-    shared = np.array(lcps)
-    for i in lone:
-        own = int(np.searchsorted(at, i))
+    for i in hard:
         r = np.empty(len(group), np.int64)
         r[i + 1 :] = np.minimum.accumulate(shared[i + 1 :])
         r[:i] = np.minimum.accumulate(shared[i:0:-1])[::-1]
         r[i] = 0
-        differ = before != before[own]
-        left = np.where(differ.any(axis=1), differ.argmax(axis=1), LEFT)
-        left = np.minimum(left, len(group[i][1]))
         r = r[at]
-        ok = (r + left >= LENGTH) & (at != i)
+        rows = np.flatnonzero(r + left[i][0] >= LENGTH)  # neighbours in the order, as no other shares enough to the right
+        differ = before[rows] != before[np.searchsorted(at, i)]
+        l_own = np.where(differ.any(axis=1), differ.argmax(axis=1), LEFT)
+        l_own = np.minimum(l_own, len(group[i][1]))
+        ok = (r[rows] + l_own >= LENGTH) & (at[rows] != i)
         if ok.any():
-            yield group[i][2], group[i][3] - int(left[ok].max()), group[i][3] + int(r[ok].max())
+            yield group[i][2], group[i][3] - int(l_own[ok].max()), group[i][3] + int(r[rows][ok].max())
 
 
 _MARK = "key binary, lo long, hi long"
@@ -260,6 +279,22 @@ def _marks(found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["key", "lo", "hi"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted stretches of each text, overlapping and touching ones joined."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            own: list[dict[str, int]] = []
+            for s in spans:
+                if own and s["lo"] <= own[-1]["hi"]:
+                    own[-1]["hi"] = max(own[-1]["hi"], s["hi"])
+                else:
+                    own.append(s)
+            out.append(own)
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, kind)], ["key", "spans"])
+
+
 def _suffixes(raw: bytes, key: bytes, positions: list[int]) -> Iterator[Suffix]:
     for p in positions:
         yield raw[p : p + LENGTH], raw[max(0, p - LEFT) : p][::-1], key, p, 1
@@ -280,7 +315,7 @@ def _runs(candidates: DataFrame, wanted, splitters: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
 
-        for batch in batches:
+        for batch in slices(batches, 4096):
             cool: dict[tuple[bytes, bytes], list] = {}
             hot: dict[tuple[bytes, bytes], list] = {}
             settled: list[tuple[bytes, int, int]] = []
@@ -309,9 +344,11 @@ def _candidates(texts: DataFrame, repeated: DataFrame, few: int) -> tuple[DataFr
     """Texts, and a function that gives of a batch of them ``raw, key, positions, hot`` for anchors of repeated prefixes."""
     sc = texts.sparkSession.sparkContext
     if repeated.limit(few + 1).count() <= few:
-        table = repeated.toPandas()  # bounded: `few` hashes at most
-        order = np.argsort(table["h"].to_numpy().view(np.uint64))
-        known = sc.broadcast((table["h"].to_numpy().view(np.uint64)[order], (table["n"].to_numpy() > HOT)[order]))
+        table = repeated.select("h", (F.col("n") > HOT).alias("hot")).toArrow()  # bounded: `few` hashes at most
+        hashes = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        known = sc.broadcast((hashes[order], table.column("hot").to_numpy()[order]))
+        del table, hashes
 
         def wanted(batch: pa.RecordBatch) -> Iterator[tuple]:
             hashes, hot = known.value
@@ -327,7 +364,7 @@ def _candidates(texts: DataFrame, repeated: DataFrame, few: int) -> tuple[DataFr
         return texts.select("text", "key"), wanted
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -354,12 +391,12 @@ def _splitters(candidates: DataFrame, wanted, merges: int, n: int) -> list[bytes
         return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             found = [raw[p : p + CORE] for raw, _, at, heat in wanted(batch) for p, h in list(zip(at, heat, strict=True))[::7] if not h]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["prefix"])
 
     some = candidates.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // 4_000))) == 0)
-    found = sorted(r["prefix"] for r in some.mapInArrow(run, schema("prefix binary")).limit(50_000).collect())
+    found = sorted(some.mapInArrow(run, schema("prefix binary")).limit(20_000).toArrow().column("prefix").to_pylist())
     return sorted({bytes(found[len(found) * i // merges]) for i in range(1, merges)}) if found else []
 
 
@@ -422,6 +459,89 @@ def _halve(hot: DataFrame) -> DataFrame | None:
         items = rest.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select(*fields[:6], (F.col("lo") + F.col("side") * half).alias("lo"), half.alias("width"))
 
 
+WIDTHS = (32, 8, 2, 1)
+#: Suffixes of hot prefixes beyond which ranges are halved by joins instead of with sets of repeated hashes at every worker.
+HOT_ROWS = 20_000_000
+
+
+def _range_hashes(right: bytes, left: bytes, lo: int, width: int) -> tuple[int | None, int | None]:
+    """Hashes of what all strings of a range of starts share, and of what they span; None if the text ends before."""
+    hi = lo + width - 1
+    need, most = max(0, LENGTH - hi), LENGTH - lo
+    if len(left) < lo or len(right) < need:
+        return None, None
+    seed = lo << 8 | width
+    core = xxhash.xxh3_64_intdigest(left[:lo] + b"|" + right[:need], seed)
+    span = xxhash.xxh3_64_intdigest(left[:hi] + b"|" + right[:most], ~seed & 0xFFFFFFFF) if len(left) >= hi and len(right) >= most else None
+    return core, span
+
+
+def _narrowed(hot: DataFrame) -> DataFrame:
+    """Stretches that repeat among the suffixes of hot prefixes, by counting hashes of ever narrower ranges.
+
+    Every pass tells a range's fate from the hashes that repeated in the passes
+    before; equal suffixes give equal hashes, which are counted where they are, so
+    only as many as differ are exchanged. 64-bit hashes decide here: a false match
+    among 1e8 ranges has a probability of about 3e-4.
+    """
+    sc = hot.sparkSession.sparkContext
+    known: list = []
+
+    def walk(right: bytes, left: bytes, levels: list) -> tuple[list, list]:
+        """Ranges of the next width that may repeat, and settled ones that do."""
+        open_, settled = [(lo, 0) for lo in range(0, LEFT + 1, WIDTHS[0])], []
+        for cores, spans, width in levels:
+            further = []
+            for lo, done in open_:
+                core, span = _range_hashes(right, left, lo, width)
+                alike = cores.get(core, 0)
+                if not alike:
+                    continue
+                same = spans.get(span, 0)
+                if not done and (width == 1 or same):
+                    settled.append((lo, width))
+                    done = 1
+                if alike > same:  # a settled range goes on only for those that share its core and not all of it
+                    further.append((lo, done))
+            nth = WIDTHS.index(width) + 1
+            step = WIDTHS[nth] if nth < len(WIDTHS) else 1
+            open_ = [(x, done) for lo, done in further for x in range(lo, min(lo + width, LEFT + 1), step)]
+        return open_, settled
+
+    for width in WIDTHS:
+        levels = list(known)
+
+        def count(batches: Iterator[pa.RecordBatch], width: int = width, levels: list = levels) -> Iterator[pa.RecordBatch]:
+            got = [(b.value[0], b.value[1], w) for b, w in levels]
+            for batch in slices(batches, 4096):
+                sums: dict[tuple[bool, int], int] = {}
+                for right, left, n in zip(*(batch.column(c).to_pylist() for c in ("right", "left", "n")), strict=True):
+                    for lo, _ in walk(right, left, got)[0]:
+                        for kind, h in enumerate(_range_hashes(right, left, lo, width)):
+                            if h is not None:
+                                sums[bool(kind), h] = sums.get((bool(kind), h), 0) + n
+                keys = list(sums)
+                h = np.array([k[1] for k in keys], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array(h), pa.array(list(sums.values()), pa.int64())], ["span", "h", "n"])
+
+        repeat = hot.mapInArrow(count, schema("span boolean, h long, n long")).groupBy("span", "h").agg(F.sum("n").alias("n")).where("n > 1").select("span", "h", "n").toArrow()
+        span, n = np.array(repeat.column("span"), bool), repeat.column("n").to_numpy()
+        h = repeat.column("h").to_numpy().view(np.uint64)
+        known.append((sc.broadcast(tuple(dict(zip(h[x].tolist(), n[x].tolist(), strict=True)) for x in (~span, span))), width))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.value[0], b.value[1], w) for b, w in known]
+        for batch in slices(batches, 4096):
+            found = []
+            for right, left, key, at in zip(*(batch.column(c).to_pylist() for c in ("right", "left", "key", "at")), strict=True):
+                settled = walk(right, left, got)[1]
+                if settled:
+                    found.append((key, at - max(min(lo + w - 1, len(left)) for lo, w in settled), at - min(lo for lo, _ in settled) + LENGTH))
+            yield _marks(found)
+
+    return hot.mapInArrow(mark, schema(_MARK))
+
+
 def repeats(docs: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """Texts with their keys, and ``key, spans``: the sorted, disjoint stretches of each text that repeat."""
     texts = _texts(docs)
@@ -429,14 +549,18 @@ def repeats(docs: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     total, n = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], texts.count()
     candidates, wanted = _candidates(texts, repeated, few)
     splitters = _splitters(candidates, wanted, min(MERGES, total // MERGE_ROWS + 1), n)
-    out = checkpoint(_runs(candidates, wanted, splitters))
+    found = Written(_runs(candidates, wanted, splitters))
+    out = found.rows
     marks = out.where("hi is not null").select("key", "lo", "hi")
     marks = marks.union(_merge(out.where("run is not null").select("part", "run").repartition(len(splitters) + 1, "part")))
     hot = out.where("hot is not null").select(F.col("hot").alias("right"), F.col("before").alias("left"), "key", F.col("lo").alias("at"), "n")
-    if not hot.isEmpty():
-        more = _halve(hot)
-        marks = marks.union(more) if more is not None else marks
-    return texts, marks.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    rows = hot.count()
+    more = (_narrowed(hot) if rows <= HOT_ROWS else _halve(hot)) if rows else None
+    marks = marks.union(more) if more is not None else marks
+    grouped = marks.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    spans = checkpoint(grouped.mapInArrow(_joined, schema("key binary, spans array<struct<lo:long,hi:long>>")))
+    found.drop()
+    return texts, spans
 
 
 def remove(docs: DataFrame, few: int = FEW) -> DataFrame:
@@ -448,23 +572,17 @@ def remove(docs: DataFrame, few: int = FEW) -> DataFrame:
     besides ``doc_id`` and ``text`` aren't read.
     """
     texts, spans = repeats(docs, few)
-    spans = checkpoint(spans)
-    size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    small = size[0] <= 300_000 and size[1] <= 1_500_000
-    rows = texts.join(F.broadcast(spans) if small else spans, "key", "left").select("doc_id", "text", "spans")
+    rows = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw, kept, at, number = text.encode("utf-8", "surrogatepass"), [], 0, 0
-                end = -1
                 for s in found or ():
-                    if s["lo"] > end:
-                        kept.append(raw[at : s["lo"]])
-                        number += 1
-                    end = max(end, s["hi"])
-                    at = end
+                    kept.append(raw[at : s["lo"]])
+                    at = s["hi"]
+                    number += 1
                 kept.append(raw[at:])
                 left = b"".join(kept)
                 out.append((len(raw), len(raw) - len(left), number, hashlib.sha256(left).hexdigest(), left))
