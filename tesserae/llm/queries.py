@@ -1,4 +1,8 @@
-"""The queries of this subpackage and, where SQL can express them, their SQL."""
+"""The queries of this subpackage and, where SQL can express them, their SQL.
+
+Hashes, tokens, learned weights and random walks aren't SQL's; tests hold those
+queries against brute force.
+"""
 
 from __future__ import annotations
 
@@ -54,5 +58,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op4_secret_scan, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules)}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = ", ".join(f"('{r.text}', {str(r.block).upper()})" for r in url_filter.SITE_RULES)
+_PATTERNS = "|".join(r.regex().pattern for r in url_filter.PATTERN_RULES).replace("\\Z", "\\z")
+URL_SQL = rf"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules AS (SELECT rule, block, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM (VALUES {_RULES}) t(rule, block)),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(block, length(rule)) AS block FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT h.page_id, host, path, m.rule, CASE WHEN coalesce(m.block, regexp_matches(host || path, '{_PATTERNS.replace("'", "''")}')) THEN 'block' ELSE 'allow' END AS verdict FROM h LEFT JOIN m ON m.page_id IS NOT DISTINCT FROM h.page_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": URL_SQL}
