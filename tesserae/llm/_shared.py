@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,15 +17,21 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_checkpoints = itertools.count()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint that every executor can read.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is named, as in tests.
+    temporary one is set only where none is named, as in tests. Every tenth time,
+    Spark's cleaner gets a chance to drop what earlier steps left behind.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    if next(_checkpoints) % 10 == 9:
+        release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
