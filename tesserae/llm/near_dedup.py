@@ -203,7 +203,13 @@ def merged(labels: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Signatures of all rows, ``(node, id, n)`` of the distinct sets that share buckets, and ``node, comp`` of those with confirmed links."""
+    """Signatures of all rows, ``(node, id, n)`` of the distinct sets that share buckets, and ``node, comp`` of those with confirmed links.
+
+    Each bucket has its own end: it is done when its members are one component, or
+    when every member outside its largest component has been a centre. Of two
+    members in different components, one is outside the largest, so their pair has
+    then been tested, whatever other buckets hold.
+    """
     sigs = checkpoint(signatures(docs))
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -211,31 +217,49 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     members = checkpoint(keyed.join(full, "key"))
     info = checkpoint(members.groupBy("node").agg(F.sum("cnt").alias("score")).join(nodes.select("node", "id", "n"), "node"))
     sets = checkpoint(_sets(docs, info))
-    members = members.join(info.select("node", "n", "score"), "node").select("key", "node", "n", "score", F.col("node").alias("comp"))
-    tested = labels = None
+    budget = members.count()
+    top = members.join(info.select("node", "n", "score"), "node").select("key", "node", "n", F.struct("score", "node", "n").alias("top"))
+    first, _ = _light(top.groupBy("key").agg(F.max("top").alias("top")).select("key", F.col("top.node").alias("centre"), F.col("top.n").alias("m")))
+    live = top.drop("top").join(first, "key").withColumn("was", F.col("node") == F.col("centre"))
+    pairs, n = _light(_star(live.where("not was"), percent))
+    tested, labels, turn = pairs, None, 0
+    live = live.select("key", "node", "n", F.col("node").alias("comp"), "was")
     while True:
-        shares = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max(F.struct("score", "node", "n")).alias("top"))
-        centre = F.min_by(F.struct("top.node", "top.n", "comp"), F.struct("c", -F.col("top.score"), "comp"))
-        centres, n = _light(shares.groupBy("key").agg(centre.alias("centre"), F.count("*").alias("comps")).where("comps > 1").select("key", "centre"))
-        if not n:
-            break
-        live = members.join(centres, "key").where(F.col("node") != F.col("centre.node"))
-        pairs = live.where(F.col("comp") != F.col("centre.comp")).where(100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
-        pairs = pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
-        pairs, n = _light(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        new, n = _light(_confirmed(pairs, sets, percent)) if n else (pairs, 0)
+        if n:
+            labels, moved = merged(labels, new)
+            live = live.join(moved, "comp", "left").select("key", "node", "n", F.coalesce("to", "comp").alias("comp"), "was")
+            del moved
+        shares = live.groupBy("key", "comp").agg(F.count("*").alias("c"), F.count_if("was").alias("w"))
+        largest = F.max(F.struct("c", "comp", "w")).alias("largest")
+        state = shares.groupBy("key").agg(largest, F.sum("c").alias("total"), F.sum(F.col("c") - F.col("w")).alias("fresh"))
+        waiting = F.col("fresh") - (F.col("largest.c") - F.col("largest.w"))
+        state = state.select("key", F.col("largest.comp").alias("major"), "total", waiting.alias("waiting")).where("waiting > 0")
+        state, n = _light(state)
         if not n:
             break
-        tested, _ = (pairs, n) if tested is None else _light(tested.union(pairs))
-        new, n = _light(_confirmed(pairs, sets, percent))
-        if not n:
-            break
-        labels, moved = merged(labels, new)
-        members = checkpoint(live.join(moved, "comp", "left").select("key", "node", "n", "score", F.coalesce("to", "comp").alias("comp")))
-        del live, shares, centres, pairs, new, moved
-        release(members.sparkSession)
+        turn += 1
+        # all that wait at once where that makes no more pairs than there are places in buckets; else four times as many as before
+        cost = state.agg(F.sum(F.col("waiting") * F.col("total"))).first()[0]
+        chosen = F.lit(True) if cost <= budget else F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (4**turn / F.col("waiting"))
+        live = live.join(state, "key").withColumn("now", ~F.col("was") & (F.col("comp") != F.col("major")) & chosen).drop("major", "total", "waiting")
+        live = checkpoint(live)
+        centres, n = _light(live.where("now").select("key", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("comp").alias("home")))
+        pairs, n = _light(_star(live.where("not was").join(centres, "key").where("comp != home"), percent).join(tested, ["a", "b"], "left_anti")) if n else (pairs, 0)
+        if n:
+            tested = checkpoint(tested.union(pairs))
+        live = live.select("key", "node", "n", "comp", (F.col("was") | F.col("now")).alias("was"))
+        del shares, state, centres, new
+        release(live.sparkSession)
     return sigs, info, labels
 
 
+def _star(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of ``node`` and ``centre`` whose sizes ``n, m`` let them be alike."""
+    rows = rows.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
