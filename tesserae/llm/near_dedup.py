@@ -3,13 +3,13 @@
 One hash of each shingle fills ``BANDS * ROWS`` bins with their least hash; an
 empty bin copies the bin that its own probe sequence first finds filled (the
 optimal densification). ``ROWS`` bins make a band, equal bands a bucket. In a
-bucket only the edges between its centre and the others are candidates, and they
-are confirmed on the full sets. The first centre is the member that meets most
-others in all its buckets. A bucket whose members aren't in one component then
-gets a further centre, from its smallest component, and so on until a round of
-new centres over all buckets shows no further link. Pairs grow with the buckets'
-members, not their squares. At a similarity of 0.8, a pair meets in 13 of the
-buckets on average, and in none with a probability of about 1e-7
+bucket only the edges between its centre, the member that meets most others in
+all its buckets, and the others are candidates, and they are confirmed on the
+full sets. Members that this leaves outside their centre's component are compared
+with all members under that centre, in blocks, so no link is lost. Copies of one
+text need the star alone, so candidates grow with the buckets' members; only
+members that are alike below the threshold are compared one with another. At a
+similarity of 0.8, a pair meets in 13 of the buckets on average, and in none with a probability of about 1e-7
 (``(1 - 0.8**ROWS)**BANDS``).
 """
 
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import checkpoint, pick, release, schema, slices
+from tesserae.llm._shared import checkpoint, pick, schema, slices
 
 SHINGLE = 4
 PERCENT = 80
@@ -33,7 +33,9 @@ BINS = BANDS * ROWS
 #: Ids that are few enough to be sent to every task; beyond, the join shuffles.
 FEW = 2_000_000
 #: Rows of ids that a join sends to every task; beyond, it shuffles.
-LIGHT = 300_000
+LIGHT = 100_000
+#: Shingles of the nodes that a task compares with others at a time.
+BLOCK = 250_000
 
 _U = np.uint64
 _MULT = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5)]
@@ -187,28 +189,25 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def merged(labels: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels after further edges, and ``comp, to`` of the components that the edges join (a node without a label is its own)."""
+def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``node, comp`` after further edges (a node without a label is its own)."""
     if labels is None:
-        found, _ = _light(components(new))
-        return found, found.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        return _light(components(new))[0]
     for end in ("a", "b"):
         new = new.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
     joined, n = _light(components(new.where("a != b")))
     moved = joined.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     moved = F.broadcast(moved) if n <= LIGHT else moved
     old = labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    found, _ = _light(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")))
-    return found, moved
+    return _light(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")))[0]
 
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Signatures of all rows, ``(node, id, n)`` of the distinct sets that share buckets, and ``node, comp`` of those with confirmed links.
 
-    Each bucket has its own end: it is done when its members are one component, or
-    when every member outside its largest component has been a centre. Of two
-    members in different components, one is outside the largest, so their pair has
-    then been tested, whatever other buckets hold.
+    No link between members of a bucket is lost, whatever other buckets hold: of
+    two members in different components, one is outside the centre's, and each of
+    those is compared with all members (`_second`).
     """
     sigs = checkpoint(signatures(docs))
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -217,47 +216,63 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     members = checkpoint(keyed.join(full, "key"))
     info = checkpoint(members.groupBy("node").agg(F.sum("cnt").alias("score")).join(nodes.select("node", "id", "n"), "node"))
     sets = checkpoint(_sets(docs, info))
-    budget = members.count()
-    top = members.join(info.select("node", "n", "score"), "node").select("key", "node", "n", F.struct("score", "node", "n").alias("top"))
-    first, _ = _light(top.groupBy("key").agg(F.max("top").alias("top")).select("key", F.col("top.node").alias("centre"), F.col("top.n").alias("m")))
-    live = top.drop("top").join(first, "key").withColumn("was", F.col("node") == F.col("centre"))
-    pairs, n = _light(_star(live.where("not was"), percent))
-    tested, labels, turn = pairs, None, 0
-    live = live.select("key", "node", "n", F.col("node").alias("comp"), "was")
-    while True:
-        new, n = _light(_confirmed(pairs, sets, percent)) if n else (pairs, 0)
-        if n:
-            labels, moved = merged(labels, new)
-            live = live.join(moved, "comp", "left").select("key", "node", "n", F.coalesce("to", "comp").alias("comp"), "was")
-            del moved
-        shares = live.groupBy("key", "comp").agg(F.count("*").alias("c"), F.count_if("was").alias("w"))
-        largest = F.max(F.struct("c", "comp", "w")).alias("largest")
-        state = shares.groupBy("key").agg(largest, F.sum("c").alias("total"), F.sum(F.col("c") - F.col("w")).alias("fresh"))
-        waiting = F.col("fresh") - (F.col("largest.c") - F.col("largest.w"))
-        state = state.select("key", F.col("largest.comp").alias("major"), "total", waiting.alias("waiting")).where("waiting > 0")
-        state, n = _light(state)
-        if not n:
-            break
-        turn += 1
-        # all that wait at once where that makes no more pairs than there are places in buckets; else four times as many as before
-        cost = state.agg(F.sum(F.col("waiting") * F.col("total"))).first()[0]
-        chosen = F.lit(True) if cost <= budget else F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (4**turn / F.col("waiting"))
-        live = live.join(state, "key").withColumn("now", ~F.col("was") & (F.col("comp") != F.col("major")) & chosen).drop("major", "total", "waiting")
-        live = checkpoint(live)
-        centres, n = _light(live.where("now").select("key", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("comp").alias("home")))
-        pairs, n = _light(_star(live.where("not was").join(centres, "key").where("comp != home"), percent).join(tested, ["a", "b"], "left_anti")) if n else (pairs, 0)
-        if n:
-            tested = checkpoint(tested.union(pairs))
-        live = live.select("key", "node", "n", "comp", (F.col("was") | F.col("now")).alias("was"))
-        del shares, state, centres, new
-        release(live.sparkSession)
+    rows = members.join(info.select("node", "n", "score"), "node").select("key", "node", "n", "score")
+    tops, _ = _light(rows.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("top")).select("key", "top.*").withColumnsRenamed({"score": "s", "node": "centre", "n": "m"}).drop("s"))
+    near = checkpoint(rows.join(tops, "key").where("node != centre").select("centre", "m", "node", "n").distinct())
+    pairs = near.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    new, n = _light(_confirmed(pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), sets, percent))
+    labels = merged(None, new) if n else None
+    new, n = _light(_second(near, labels, sets, percent))
+    if n:
+        labels = merged(labels, new)
     return sigs, info, labels
 
 
-def _star(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of ``node`` and ``centre`` whose sizes ``n, m`` let them be alike."""
-    rows = rows.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def _second(near: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` of the nodes outside their centre's component with all nodes under that centre.
+
+    A centre's nodes fall into blocks of about ``BLOCK`` shingles, and so do those
+    outside its component; a task sees one block of each. What crosses the network
+    is blocks, and what comes out is links, not pairs. Copies of a text are in
+    their centre's component, so few nodes ask, unless many texts are alike below
+    the threshold only.
+    """
+    if labels is None:
+        rows = near.withColumn("comp", F.col("node")).withColumn("asks", F.lit(True))
+    else:
+        rows = near.join(labels, "node", "left").join(labels.select(F.col("node").alias("centre"), F.col("comp").alias("home")), "centre", "left")
+        rows = rows.withColumn("comp", F.coalesce("comp", "node")).withColumn("asks", F.col("comp") != F.coalesce("home", "centre"))
+    rows = checkpoint(rows.select("centre", "node", "n", "comp", "asks"))
+    blocks = lambda c: F.ceil(F.sum(c) / BLOCK).alias
+    per = rows.groupBy("centre").agg(F.count("*").alias("members"), blocks("n")("all_blocks"), blocks(F.when(F.col("asks"), F.col("n")).otherwise(0))("ask_blocks"))
+    per, _ = _light(per.where("ask_blocks > 0 and members > 1").drop("members"))
+    rows = rows.join(per, "centre")
+    nth = lambda c: F.pmod(F.xxhash64("node"), c)
+    each = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    told = rows.select("centre", nth(F.col("all_blocks")).alias("x"), each(F.col("ask_blocks")).alias("y"), "node", "comp", F.lit(False).alias("asks"))
+    asked = rows.where("asks").select("centre", each(F.col("all_blocks")).alias("x"), nth(F.col("ask_blocks")).alias("y"), "node", "comp", F.lit(True).alias("asks"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        asks = np.array(rows.column("asks"), bool)
+        node, comp = rows.column("node").to_pylist(), rows.column("comp").to_pylist()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")]
+        own = np.flatnonzero(~asks)
+        out: list[tuple[bytes, bytes]] = []
+        if len(own):
+            sizes = np.array([len(found[i]) for i in own])
+            hashes, owner = np.concatenate([found[i] for i in own]), np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            for i in np.flatnonzero(asks):
+                lo, hi = np.searchsorted(hashes, found[i], "left"), np.searchsorted(hashes, found[i], "right")
+                hits = hi - lo
+                at = np.arange(hits.sum()) + np.repeat(lo - np.cumsum(hits) + hits, hits)
+                both = np.bincount(owner[at], minlength=len(own))
+                alike = own[100 * both >= percent * (len(found[i]) + sizes - both)]
+                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in alike if comp[i] != comp[j]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return told.union(asked).join(sets, "node").groupBy("centre", "x", "y").applyInArrow(run, schema("a binary, b binary")).distinct()
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -152,11 +152,29 @@ def test_near_dedup_is_exact(spark, docs):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 4_000])
+def test_near_dedup_loses_no_link_below_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    base = []
+    for family in range(3):  # most pairs are just below 0.8, some above
+        r = random.Random(family)
+        vocabulary = [f"v{i}" for i in range(5000)]
+        text = [r.choice(vocabulary) for _ in range(300)]
+        for k in range(202 if block > 4_000 else 100):
+            copy = list(text)
+            for _ in range(r.choice((4, 5, 6))):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            base.append((1000 * family + k, " ".join(copy)))
+    got = near_dedup.classes(spark.createDataFrame(base, "doc_id long, text string").repartition(5)).collect()
+    want = brute_classes(base)
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == sorted(want)
+    assert len({c for *_, c in want}) > 6
+
+
 def test_labels_merge(spark):
     edges = lambda rows: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in rows], "a binary, b binary")
-    labels, _ = near_dedup.merged(None, edges([(1, 2), (3, 4), (4, 5), (7, 8)]))
-    labels, moved = near_dedup.merged(labels, edges([(5, 2), (8, 9), (10, 11), (1, 3)]))
-    assert {r["comp"][0]: r["to"][0] for r in moved.collect()} == {1: 1, 3: 1, 7: 7, 9: 7, 10: 10, 11: 10}
+    labels = near_dedup.merged(None, edges([(1, 2), (3, 4), (4, 5), (7, 8)]))
+    labels = near_dedup.merged(labels, edges([(5, 2), (8, 9), (10, 11), (1, 3)]))
     assert {r["node"][0]: r["comp"][0] for r in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 10: 10, 11: 10}
 
 
