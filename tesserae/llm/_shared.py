@@ -23,13 +23,17 @@ _checkpoints = itertools.count()
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint that every executor can read.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is named, as in tests. Every tenth time,
-    Spark's cleaner gets a chance to drop what earlier steps left behind.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Where
+    none is named, a local session gets a temporary one; on a cluster, whose
+    executors couldn't read it, that is an error. Every tenth time, Spark's cleaner
+    gets a chance to drop what earlier steps left behind.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     if next(_checkpoints) % 10 == 9:
         release(df.sparkSession)
     return df.checkpoint(eager=True)

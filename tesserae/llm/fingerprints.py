@@ -201,7 +201,8 @@ def edited(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.ones(len(guest), bool)), ids.take(at), text.take(at)], ["stretch", "guest", "doc_id", "text"])
 
     dealt = docs.mapInArrow(deal, schema("stretch long, guest boolean, doc_id long, text string"))
-    dealt = dealt.repartition(len(borders) + 1, "stretch").sortWithinPartitions("stretch", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    # stretch i is dealt to task i, so no task gets several by chance
+    dealt = dealt.repartitionById(len(borders) + 1, F.col("stretch").cast("int")).sortWithinPartitions("stretch", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.llm._shared import checkpoint, pick, running, words_in
+from tesserae.llm._shared import checkpoint, fresh, pick, running, words_in
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -127,12 +127,25 @@ def taken(docs: DataFrame, **options: object) -> DataFrame:
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mix in its order: the rows of ``docs``, each as often as it is taken, range-sorted by finish time over all tasks.
 
-    Rows join their number of passes by ``doc_id`` and source; of rows that repeat
-    both, each is taken as often as one of them.
+    Rows join their number of passes by ``doc_id`` and source; rows that repeat
+    both are told apart by size and text, so each is taken as often as the plan
+    says. An empty table gives an empty one; columns of any name pass through.
     """
-    plan = schedule(docs, **options).groupBy("doc_id", "source").agg(F.max("passes").alias("__passes"), F.min("first_finish").alias("__finish"), F.first("target").alias("__target"), F.first("source_size").alias("__size"))
-    plan = checkpoint(plan.where("__passes > 0")).withColumnsRenamed({"doc_id": "__id", "source": "__s"})
-    rows = docs.join(F.broadcast(plan) if _few(plan, FEW) else plan, docs["doc_id"].cast("long").eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__s"]))
-    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes"))))
-    turn = F.col("__finish") + (F.col("__pass") - 1) * F.col("__size") / F.col("__target")
-    return rows.repartitionByRange(turn, F.col("doc_id")).sortWithinPartitions(turn, F.col("doc_id")).select(docs.columns)
+    at = {c: fresh(f"__{c}", docs.columns) for c in ("id", "source", "nth", "passes", "finish", "target", "whole", "turn", "words")}
+    plan = schedule(docs, **options)
+    plan = checkpoint(plan.select(*(F.col(c).alias(at[k]) for k, c in {"id": "doc_id", "source": "source", "words": "size", "passes": "passes", "finish": "first_finish", "target": "target", "whole": "source_size"}.items())))
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(at["id"])) & docs["source"].cast("string").eqNullSafe(F.col(at["source"]))
+    if plan.groupBy(at["id"], at["source"]).count().where("count > 1").isEmpty():
+        taken = plan.where(F.col(at["passes"]) > 0)
+    else:
+        w = W.partitionBy(at["id"], at["source"])
+        mine = W.partitionBy(F.col("doc_id").cast("long"), F.col("source").cast("string"))
+        docs = docs.withColumn(at["nth"], F.row_number().over(mine.orderBy(words_in(F.col("text")), "text")))
+        number = fresh("__number", docs.columns)
+        taken = plan.withColumn(number, F.row_number().over(w.orderBy(at["words"], F.col(at["finish"])))).where(F.col(at["passes"]) > 0)
+        on = docs["doc_id"].cast("long").eqNullSafe(F.col(at["id"])) & docs["source"].cast("string").eqNullSafe(F.col(at["source"])) & (docs[at["nth"]] == F.col(number))
+    columns = [c for c in docs.columns if c != at["nth"]]
+    rows = docs.join(F.broadcast(taken) if _few(taken, FEW) else taken, on)
+    rows = rows.withColumn(at["turn"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(at["passes"]))))
+    turn = F.col(at["finish"]) + (F.col(at["turn"]) - 1) * F.col(at["whole"]) / F.col(at["target"])
+    return rows.repartitionByRange(turn, F.col("doc_id")).sortWithinPartitions(turn, F.col("doc_id")).select(*(F.col(f"`{c}`") for c in columns))

@@ -112,7 +112,7 @@ def _print(hashes: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, bands``; ``node`` is the identity of the set, null for an empty one."""
+    """``doc_id, n_shingles, node, bands, text_hash``; ``node`` is the identity of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -120,9 +120,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t.as_py(), words) for t in batch.column("text")]
             bands = np.concatenate([band_keys(signature(s)) if len(s) else np.zeros(BANDS, np.int64) for s in sets]) if sets else np.zeros(0, np.int64)
             column = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), column], ["doc_id", "n_shingles", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), column, batch.column("text_hash")], ["doc_id", "n_shingles", "node", "bands", "text_hash"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, schema("doc_id long, n_shingles long, node binary, bands array<long>"))
+    rows = pick(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.mapInArrow(run, schema("doc_id long, n_shingles long, node binary, bands array<long>, text_hash long"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,7 +277,7 @@ def _second(near: DataFrame, labels: DataFrame | None, sets: DataFrame, percent:
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` of every row.
 
     ``component_id`` is the least ``doc_id`` that links reach, itself included;
     ``kept`` marks the rows whose own ``doc_id`` that is. Rows with equal sets
@@ -287,7 +288,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table gives an empty one; columns besides ``doc_id`` and ``text`` aren't read.
     """
     sigs, info, labels = links(docs, percent)
-    rows = sigs.select("doc_id", "n_shingles", "node")
+    rows = sigs.select("doc_id", "n_shingles", "node", "text_hash")
     twins = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("c")).where("c > 1").select("node", "id")
     if labels is None:
         named = twins
@@ -300,5 +301,5 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     few = named.limit(FEW // 8 + 1).count() <= FEW // 8
     out = rows.join(F.broadcast(named) if few else named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.coalesce("id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

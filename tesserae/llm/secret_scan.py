@@ -184,12 +184,16 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """The documents, every column kept, with ``mask`` in place of each secret of ``text``, and ``n_chars`` (if there) to match."""
-    parts, places, text = (fresh(c, docs.columns) for c in ("__parts", "__places", "__text"))
+    """The documents, every column kept, with ``mask`` in place of each secret of ``text``, and ``n_chars`` (if there) to match.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; an empty
+    table gives an empty one; columns of any other name pass through.
+    """
+    parts, secret, text = (fresh(c, docs.columns) for c in ("__parts", "__secret", "__text"))
     rows = docs.withColumn(parts, _parts(F.col("text").cast("string")))
-    secrets = F.filter(_judged(_score(docs, findings), F.col(parts)), lambda s: s["score"] >= threshold)
-    rows = rows.withColumn(places, F.transform(secrets, lambda s: s["place"]))
-    masked = F.array_join(F.transform(F.col(parts), lambda p, i: F.when(F.array_contains(places, i), F.lit(mask)).otherwise(_plain(p))), "")
-    rows = rows.withColumn(text, F.when(F.size(places) > 0, masked).otherwise(F.col("text")))
+    rows = rows.withColumn(secret, F.transform(_judged(_score(docs, findings), F.col(parts)), lambda s: s["score"] >= threshold))
+    hit = lambda i: (i % 2 == 1) & F.element_at(secret, F.when(i % 2 == 1, ((i + 1) / 2).cast("int")).otherwise(1))
+    masked = F.array_join(F.transform(F.col(parts), lambda p, i: F.when(hit(i), F.lit(mask)).otherwise(_plain(p))), "")
+    rows = rows.withColumn(text, F.when(F.exists(secret, lambda s: s), masked).otherwise(F.col("text")))
     new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
     return rows.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))

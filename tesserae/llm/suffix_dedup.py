@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -400,12 +399,14 @@ def _splitters(candidates: DataFrame, wanted, merges: int, n: int) -> list[bytes
     return sorted({bytes(found[len(found) * i // merges]) for i in range(1, merges)}) if found else []
 
 
-def _merge(runs: DataFrame) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(runs: DataFrame, parts: int) -> DataFrame:
+    """Stretches that repeat within the ranges ``part``; range ``i`` is dealt to task ``i``, so no task gets several by chance."""
+
+    def merge(blobs: list[bytes]) -> pa.RecordBatch:
         out: list[tuple[bytes, int, int]] = []
         group: list[Suffix] = []
         lcps: list[int] = []
-        for s, shared in merged([decoded(bytes(b)) for b in rows["run"]]):
+        for s, shared in merged([decoded(b) for b in blobs]):
             if shared < CORE:
                 if len(group) > 1 or (group and group[0][4] > 1):
                     out += _covered(group, lcps)
@@ -414,9 +415,21 @@ def _merge(runs: DataFrame) -> DataFrame:
             lcps.append(shared)
         if group:
             out += _covered(group, lcps)
-        return _marks(out).to_pandas()
+        return _marks(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blobs = None, []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), strict=True):
+                if p != part and blobs:
+                    yield merge(blobs)
+                    blobs = []
+                part = p
+                blobs.append(blob)
+        if blobs:
+            yield merge(blobs)
 
-    return runs.groupBy("part").applyInPandas(run, schema(_MARK))
+    return runs.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(run, schema(_MARK))
 
 
 def _halve(hot: DataFrame) -> DataFrame | None:
@@ -460,8 +473,8 @@ def _halve(hot: DataFrame) -> DataFrame | None:
 
 
 WIDTHS = (32, 8, 2, 1)
-#: Suffixes of hot prefixes beyond which ranges are halved by joins instead of with sets of repeated hashes at every worker.
-HOT_ROWS = 20_000_000
+#: Repeated hashes of ranges that are few enough to go to every worker (about 20 MB); beyond, ranges are halved by joins.
+HOT_HASHES = 1_000_000
 
 
 def _range_hashes(right: bytes, left: bytes, lo: int, width: int) -> tuple[int | None, int | None]:
@@ -476,13 +489,15 @@ def _range_hashes(right: bytes, left: bytes, lo: int, width: int) -> tuple[int |
     return core, span
 
 
-def _narrowed(hot: DataFrame) -> DataFrame:
+def _narrowed(hot: DataFrame) -> DataFrame | None:
     """Stretches that repeat among the suffixes of hot prefixes, by counting hashes of ever narrower ranges.
 
     Every pass tells a range's fate from the hashes that repeated in the passes
     before; equal suffixes give equal hashes, which are counted where they are, so
     only as many as differ are exchanged. 64-bit hashes decide here: a false match
-    among 1e8 ranges has a probability of about 3e-4.
+    among 1e8 ranges has a probability of about 3e-4. Hashes that repeat go to the
+    workers while there are ``HOT_HASHES`` at most; beyond, `_halve` takes over,
+    which exchanges them by joins.
     """
     sc = hot.sparkSession.sparkContext
     known: list = []
@@ -524,7 +539,10 @@ def _narrowed(hot: DataFrame) -> DataFrame:
                 h = np.array([k[1] for k in keys], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.bool_()), pa.array(h), pa.array(list(sums.values()), pa.int64())], ["span", "h", "n"])
 
-        repeat = hot.mapInArrow(count, schema("span boolean, h long, n long")).groupBy("span", "h").agg(F.sum("n").alias("n")).where("n > 1").select("span", "h", "n").toArrow()
+        repeat = checkpoint(hot.mapInArrow(count, schema("span boolean, h long, n long")).groupBy("span", "h").agg(F.sum("n").alias("n")).where("n > 1").select("span", "h", "n"))
+        if repeat.limit(HOT_HASHES + 1).count() > HOT_HASHES:
+            return _halve(hot)
+        repeat = repeat.toArrow()  # bounded by the check before
         span, n = np.array(repeat.column("span"), bool), repeat.column("n").to_numpy()
         h = repeat.column("h").to_numpy().view(np.uint64)
         known.append((sc.broadcast(tuple(dict(zip(h[x].tolist(), n[x].tolist(), strict=True)) for x in (~span, span))), width))
@@ -552,10 +570,9 @@ def repeats(docs: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     found = Written(_runs(candidates, wanted, splitters))
     out = found.rows
     marks = out.where("hi is not null").select("key", "lo", "hi")
-    marks = marks.union(_merge(out.where("run is not null").select("part", "run").repartition(len(splitters) + 1, "part")))
+    marks = marks.union(_merge(out.where("run is not null").select("part", "run"), len(splitters) + 1))
     hot = out.where("hot is not null").select(F.col("hot").alias("right"), F.col("before").alias("left"), "key", F.col("lo").alias("at"), "n")
-    rows = hot.count()
-    more = (_narrowed(hot) if rows <= HOT_ROWS else _halve(hot)) if rows else None
+    more = None if hot.isEmpty() else _narrowed(hot)
     marks = marks.union(more) if more is not None else marks
     grouped = marks.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     spans = checkpoint(grouped.mapInArrow(_joined, schema("key binary, spans array<struct<lo:long,hi:long>>")))

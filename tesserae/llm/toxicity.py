@@ -8,6 +8,7 @@ don't count; the weight found is set against the text's length.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +24,6 @@ LABELLED = 20_000
 #: An entry needs this much evidence (log-likelihood ratio), and so many families of documents.
 EVIDENCE = 11.0
 FAMILIES = 3
-MAX_ENTRIES = 5_000
 THRESHOLD = 0.7
 HELD_OUT = 1  # the remainder of crc32(doc_id) by 3 that isn't learned from
 
@@ -79,8 +79,11 @@ class Lexicon:
                 spared.append((start, end))
             else:
                 found.append((start, end, weight))
-        if spared:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b in spared)]
+        if spared:  # in the order of their ends; of those that end at or after a match, the one that starts first may hold it
+            ends, first = [b for _, b in spared], [a for a, _ in spared]
+            for i in range(len(first) - 2, -1, -1):
+                first[i] = min(first[i], first[i + 1])
+            found = [x for x in found if (i := bisect.bisect_left(ends, x[1])) == len(ends) or first[i] > x[0]]
         total = sum(w for *_, w in found)
         return total / (1 + s.count(" ") + s.count("\n")), total, len(found)
 
@@ -118,7 +121,8 @@ def learn(rows: DataFrame) -> dict[str, float]:
     """Entries and weights (log odds) from rows of ``text, toxic``.
 
     Documents are counted by family, the least word hash, so that a text with
-    many copies is evidence once.
+    many copies is evidence once. Every word with the evidence is an entry; the
+    sample bounds their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +149,13 @@ def learn(rows: DataFrame) -> dict[str, float]:
     evidence = 2 * (part("t", rate / share) + part("n", (1 - rate) / (1 - share)))
     weight = F.log(((F.col("t") + 0.5) / big_t) / ((F.col("n") + 0.5) / big_n))
     best = words.where(f"t >= {FAMILIES}").where((rate > share) & (evidence >= EVIDENCE)).select("word", weight.alias("weight"), evidence.alias("evidence"))
-    best = best.where("weight >= 1.5").orderBy(F.desc("evidence"), "word").limit(MAX_ENTRIES)
-    return {r["word"]: r["weight"] for r in best.collect()}
+    return {r["word"]: r["weight"] for r in best.where("weight >= 1.5").orderBy(F.desc("evidence"), "word").collect()}
 
 
 def score(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = EXCEPTIONS, bound: int = LABELLED) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_matches`` of every row.
 
-    The lexicon (``MAX_ENTRIES`` at most) and three coefficients go to the
+    The lexicon (words of the bounded sample) and three coefficients go to the
     workers; every whole text is read once more. Null and empty texts match
     nothing and get the score of a text without a match; a null ``doc_id`` isn't
     held out; repeated rows score alike; without any labels all scores are 0.5 or

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tesserae.llm import (
@@ -58,14 +61,15 @@ def words(t):
     return (t or "").encode().lower().split()
 
 
-def test_packing_round_trip(docs):
+def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
+    odd = [(-1, "a<|endoftext|>b"), (-2, "<|endoftext|>"), (-3, "x <|endoftext|><|endoftext|> <|endof text|>\n"), (-4, "é<|endoftext|> 1234")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
     rows = packing.pack(docs).collect()
     tok = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tok.encode_special_tokens = True
     by = defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
@@ -94,8 +98,7 @@ def test_packing_cuts():
     for n in range(1, 3000):
         lengths = packing.cuts(n)
         assert sum(lengths) == n and max(lengths) <= 1024
-    encode = packing.encoder()
-    assert len(encode("<|endoftext|>")) > 1
+    assert packing.encoder()("a<|endoftext|>b").tolist() == [64, 50256, 65]
 
 
 def test_packing_awkward(awkward, nothing):
@@ -294,6 +297,42 @@ def test_mixing(docs, awkward, nothing):
     assert mixing.mix(docs).count() == sum(r["passes"] for r in mixing.schedule(docs).collect())
 
 
+def order_key(doc_id, seed):
+    """Spark's xxhash64 of a long and an int, without its sign's bit."""
+    h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    return xxhash.xxh64_intdigest(struct.pack("<i", seed), h)
+
+
+def test_mixing_takes_what_the_queue_serves(docs):
+    """The queue, served one pass at a time, until the budget is used up."""
+    rows = [(d["doc_id"], d["source"], len(words(d["text"]))) for d in docs.collect()]
+    sizes = sizes_of(docs)
+    goal, passes = brute_targets(sizes), []
+    for source in sizes:
+        upto = 0
+        for i, _, n in sorted((r for r in rows if r[1] == source), key=lambda r: (order_key(r[0], mixing.SEED) >> 1, r[0])):
+            upto += n
+            passes += [((upto + turn * sizes[source]) / goal[source], order_key(i, mixing.SEED) >> 1, i, n) for turn in range(2)]
+    used, want = 0, Counter()
+    for _, _, i, n in sorted(passes):
+        if used + n > sum(goal.values()):
+            break
+        used += n
+        want[i] += n
+    assert {r["doc_id"]: r["taken"] for r in mixing.taken(docs).collect()} == {i: want[i] for i, *_ in rows}
+
+
+def test_mix_of_awkward_rows(spark, awkward, nothing):
+    assert mixing.mix(nothing).count() == 0
+    clash = awkward.withColumns({c: F.lit(1) for c in ("__size", "__passes", "__finish", "__target", "__id", "__s", "__nth", "__words")})
+    rows = mixing.mix(clash)
+    assert rows.columns == clash.columns
+    plan = mixing.schedule(awkward).collect()
+    assert rows.count() == sum(r["passes"] for r in plan)
+    same = spark.createDataFrame([(1, "a b c d e f", "s")] * 6 + [(2, "x " * 30, "t")], "doc_id long, text string, source string")
+    assert mixing.mix(same).where("doc_id = 1").count() == sum(r["passes"] for r in mixing.schedule(same).collect() if r["doc_id"] == 1)
+
+
 def sizes_of(docs):
     c = Counter()
     for d in docs.collect():
@@ -319,6 +358,13 @@ def test_toxicity(spark, docs, labels, awkward, nothing):
     lexicon = toxicity.Lexicon({toxicity.fold(w): 3.0 for w in ("idiot", "trash", "clown")})
     assert lexicon.features("you IDI0T")[2] == 1 and lexicon.features("an іdіоt")[2] == 1 and lexicon.features("c1own")[2] == 1  # digits, Cyrillic
     assert lexicon.features("the trash can, idiotic")[2] == 0 and lexicon.features(None)[2] == 0 and lexicon.features("iiiidiot trash")[2] >= 1
+    phrases = toxicity.Lexicon({"bad": 1.0, "worse": 2.0}, ("not bad at all", "worse for wear", "so bad"))
+    r = random.Random(6)
+    for _ in range(300):  # matches and exceptions, word by word
+        text = " ".join(r.choices(["bad", "worse", "not", "at", "all", "for", "wear", "so", "badly"], k=r.randrange(14)))
+        spans = [(m.start(), m.end()) for p in ("not bad at all", "worse for wear", "so bad") for m in re.finditer(rf"(?=\b{p}\b)", text) for m in [re.compile(p).match(text, m.start())]]
+        hits = [m for m in re.finditer(r"\b(bad|worse)\b", text) if not any(a <= m.start() and m.end() <= b for a, b in spans)]
+        assert phrases.features(text)[2] == len(hits)
     rows = toxicity.score(docs, labels).collect()
     assert all((r["predicted"] == 1) == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
@@ -364,7 +410,7 @@ def shared_passages(docs):
 @pytest.mark.parametrize("mode", ["plain", "hot", "halved", "joined", "many"])
 def test_suffix_dedup(spark, shared_passages, mode, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3 if mode in ("hot", "halved") else 20_000)
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 0 if mode == "halved" else 10**9)
+    monkeypatch.setattr(suffix_dedup, "HOT_HASHES", 0 if mode == "halved" else 10**6)
     monkeypatch.setattr(suffix_dedup, "MERGE_ROWS", 40 if mode == "many" else 40_000)
     frame = spark.createDataFrame(list(enumerate(shared_passages)), "doc_id long, text string").repartition(4)
     rows = suffix_dedup.remove(frame, few=0 if mode == "joined" else suffix_dedup.FEW).orderBy("doc_id").collect()
@@ -391,6 +437,27 @@ def test_importance(spark, docs, labels, awkward, nothing):
     rows = importance.resample(docs, labels, keep=0.5)
     assert rows.where("kept").count() == 100
     assert sorted(map(str, rows.collect())) == sorted(map(str, importance.resample(docs.repartition(3), labels, keep=0.5).collect()))
+    held = {r["doc_id"] for r in labels.where("quality = 1").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    raw, good, bags = np.full(importance.BUCKETS, 0.0), np.full(importance.BUCKETS, 0.0), {}
+    for d in docs.collect():  # the two models, the weights, the noise and the choice, row by row
+        w = [zlib.crc32(x) for x in words(d["text"])]
+        mixed = [(x * 0xC2B2AE3D27D4EB4F) % 2**64 for x in w]
+        for a, b in zip(w, w[1:], strict=False):
+            p = (a * 0x9E3779B97F4A7C15 + b) % 2**64
+            mixed.append(p ^ (p >> 29))
+        bags[d["doc_id"]] = Counter((m >> 17) % importance.BUCKETS for m in mixed)
+        for b, n in bags[d["doc_id"]].items():
+            raw[b] += n
+            good[b] += n if d["doc_id"] in held else 0
+    smooth = importance.SMOOTH * len(raw)
+    ratio = np.log((good + importance.SMOOTH) / (good.sum() + smooth)) - np.log((raw + importance.SMOOTH * (raw.sum() + smooth) / (good.sum() + smooth)) / (raw.sum() + importance.SMOOTH * (raw.sum() + smooth) / (good.sum() + smooth) * len(raw)))
+    keys = {}
+    for r in rows.collect():
+        weight = sum(n * ratio[b] for b, n in bags[r["doc_id"]].items())
+        u = ((order_key(r["doc_id"], importance.SEED) >> 11) + 0.5) / 2**53
+        keys[r["doc_id"]] = weight - np.log(-np.log(u))
+        assert r["log_weight"] == pytest.approx(weight, abs=1e-6) and r["sample_key"] == pytest.approx(keys[r["doc_id"]], abs=1e-6)
+    assert {r["doc_id"] for r in rows.where("kept").collect()} == set(sorted(keys, key=keys.get)[-100:])
     odd = {r["doc_id"]: r for r in importance.resample(awkward, labels).collect()}
     assert odd[1]["log_weight"] == 0.0 and odd[6]["log_weight"] == odd[7]["log_weight"]
     assert importance.resample(nothing, labels).count() == 0
@@ -437,6 +504,63 @@ def test_quality(spark, docs, labels, awkward, nothing):
     assert share[1] > 0.99 and share[0] < 0.2
 
 
+def brute_mcd(x, starts=300):
+    """The least determinant that many random starts lead to, and the squared distances under it."""
+    gen, h, best = np.random.default_rng(5), -(-len(x) * 3 // 4), None
+    for _ in range(starts):
+        near = gen.choice(len(x), 7, replace=False)
+        for _ in range(8):
+            own = x[near]
+            cov = quality.covariance(np.cov(own.T, bias=True), len(own))
+            dist = np.einsum("ij,jk,ik->i", x - own.mean(0), np.linalg.inv(cov), x - own.mean(0))
+            near = np.argsort(dist, kind="stable")[:h]
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, dist
+    return best
+
+
+def test_least_determinants_and_distances(spark):
+    gen, rows = np.random.default_rng(1), []
+    for g, n in (("a", 150), ("b", 260)):
+        mix = gen.normal(size=(6, 6)) * 0.5
+        x = gen.normal(size=(n, 6)) @ mix
+        x[: n // 6] = x[: n // 6] * 0.3 + 6.0  # a tight cluster of outliers, which no estimate from all rows would show
+        rows += [(g, *(int(v) for v in np.round(r * quality.SCALE))) for r in x]
+    good = spark.createDataFrame(rows, "grp string, " + ", ".join(f"x{i} long" for i in range(6)))
+    fits = {r["grp"]: r for r in quality.estimates(good.repartition(3), lambda df: df).collect()}
+    again = {r["grp"]: r for r in quality.estimates(good, F.broadcast).collect()}
+    assert {g: r["inverse"] for g, r in fits.items()} == {g: r["inverse"] for g, r in again.items()}
+    for g, fit in fits.items():
+        x = np.array([r[1:] for r in rows if r[0] == g]) / quality.SCALE
+        det, dist = brute_mcd(x)
+        assert fit["logdet"] <= det + 0.15
+        d = x - np.array(fit["centre"])
+        ours = np.einsum("ij,jk,ik->i", d, np.array(fit["inverse"]).reshape(6, 6), d)
+        cut = quality.quantile(1e-3)
+        assert set(np.flatnonzero(ours > 10 * cut)) == set(np.flatnonzero(dist > 10 * cut)) == set(range(len(x) // 6))
+        assert sorted(ours)[-(-len(x) * 3 // 4) - 1] == pytest.approx(fit["edge"], rel=0.04)
+    assert quality.quantile(0.25) == pytest.approx(7.8408, abs=1e-3) and quality.quantile(0.001) == pytest.approx(22.4577, abs=1e-3)
+
+
+def test_quality_distances(spark, docs):
+    rows = quality.statistics(docs).collect()
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    x, ids = [], []
+    for r in rows:
+        if not judged[r["doc_id"]]["base_failed"]:
+            n, chars = r["n_words"] + 40.0, r["word_chars"] + 200.0
+            x.append([np.log(chars / n) * 4, np.log1p(r["n_symbols"] / n * 50), np.sqrt(r["n_dup_lines"] / (r["n_lines"] + 8)) * 2, np.sqrt(r["n_repeat_words"] / n) * 2, np.sqrt(r["n_upper"] / chars) * 4, np.sqrt(r["n_stutter"] / n) * 2])
+            ids.append(r["doc_id"])
+    x = np.array(x)
+    assert len(x) < quality.MIN_GROUP  # one group, whatever the language
+    _, dist = brute_mcd(x, 60)
+    edge = sorted(dist)[-(-len(x) * 3 // 4) - 1]
+    want = dist / max(edge / quality.EDGE, 1) <= quality.quantile(quality.TAIL)
+    assert np.mean([judged[i]["kept"] == w for i, w in zip(ids, want, strict=True)]) > 0.97
+    assert all(judged[i]["kept"] == (judged[i]["distance"] <= quality.quantile(quality.TAIL)) for i in ids)
+
+
 def test_url_sql(spark):
     import duckdb
 
@@ -465,3 +589,21 @@ def test_pipeline(spark, docs):
             assert kept.count() == before.count()
     assert {r["doc_id"] for r in kept.collect()} <= ids and kept.count() > 0
     assert pipeline.run(spark, DATA).agg(F.sum("length")).first() == kept.agg(F.sum("length")).first()
+
+
+def test_pipeline_stages_on_awkward_rows(spark, nothing):
+    import corpus_pipeline as pipeline
+
+    good = ["Plain prose of some length about rivers and hills, with no trouble in it, told by one who walked there in June and again in May."]
+    rows = [(i, t, None if i == 9 else "en", None if i == 8 else "s", len(t or "")) for i, t in AWKWARD]
+    rows += [(30, good[0], "en", "s", 1), (30, "no " * 60, "en", "s", 1), (30, good[0], "en", "s", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("__bad", "__hash", "kept", "text_hash", "node")})
+    first = pipeline.quality_rules(spark, frame, DATA)
+    assert first.columns == frame.columns and {r["text"] for r in first.where("doc_id = 30").collect()} == set(good)
+    assert first.where("text is null or doc_id = 5").count() == 0
+    second = pipeline.near_duplicates(spark, frame, DATA)
+    assert second.columns == frame.columns and second.where("doc_id = 7").count() == 0 and second.where("doc_id = 6").count() == 1
+    assert second.where("doc_id = 5").count() == 1 and second.where("doc_id in (1, 2, 3)").count() == 3 and second.where("doc_id = 30").count() == 2
+    empty = nothing.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, frame, DATA).count() > 0 and stage(spark, empty, DATA).count() == 0
