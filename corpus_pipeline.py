@@ -7,49 +7,57 @@ same with reliable checkpoints.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import mixing, near_dedup, packing, quality, secret_scan
 from tesserae.llm._shared import checkpoint, fresh
 
-#: Ids that are few enough to be sent to every task; beyond, the join shuffles.
-FEW = 2_000_000
+#: Rejected rows that are few enough to be sent to every task; beyond, the join shuffles.
+FEW = 500_000
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents but for those of which no row has ``kept``. A null ``doc_id`` is never dropped."""
-    bad = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias(key := fresh("__bad", docs.columns)))
+def _without(docs: DataFrame, verdicts: DataFrame, identity: Column) -> DataFrame:
+    """The rows of the documents but for those that ``verdicts`` reject; ``doc_id`` and a hash tell rows apart, so rows that share an id fare each by themselves."""
+    key, mark = fresh("__bad", docs.columns), fresh("__hash", docs.columns)
+    bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)).distinct()
     bad = checkpoint(bad)
     few = bad.limit(FEW + 1).count() <= FEW
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == F.col(key), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (identity == F.col(mark)), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the robust distances reject."""
-    return _without(docs, quality.judge(docs).select("doc_id", "kept"))
+    """Documents that neither the base rules nor the robust distances reject.
+
+    Null, empty and very short texts fail the base rules; repeated rows fare
+    alike; rows that share an id are judged each; an empty table stays empty.
+    """
+    return _without(docs, quality.judge(docs).select("doc_id", "text_hash", "kept"), quality.text_hash())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least ``doc_id``; of rows that repeat it and its text, one."""
-    found = checkpoint(near_dedup.classes(docs).select("doc_id", "kept"))
-    kept = _without(docs, found)
-    repeated = not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+    """One document of each group of near copies, the one with the least ``doc_id``; of rows that repeat it and its text, one.
+
+    Null and empty texts are in no group and stay; an empty table stays empty.
+    """
+    found = checkpoint(near_dedup.classes(docs).select("doc_id", "text_hash", "kept"))
+    kept = _without(docs, found, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    repeated = not found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; null and empty texts stay as they are, repeated rows are masked alike."""
     return secret_scan.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, in its order."""
+    """Documents as often as the mixture takes them, in its order; null texts count no words, repeated rows are documents of their own."""
     return mixing.mix(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences."""
+    """Pieces of documents and their places in sequences; a null or empty text is the end id alone."""
     return packing.pack(docs)
 
 
