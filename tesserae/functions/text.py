@@ -27,7 +27,11 @@ BANNED = (
 )
 
 TOKEN = r"[\p{L}\p{N}]+"
+# Fixed value: where a sentence may end, so that boundaries agree with those of existing chunks.
 SENTENCE = r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])"
+#: Right after an abbreviation, whose stop ends no sentence.
+_ABBREVIATED = r"(?<=(?<![\w.])(?iu:" + "|".join(a.replace(".", r"\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\.)"
+_CUT = "\uffff"
 COPY_WINDOW = 6
 MAX_CLAIMS = 12
 
@@ -102,16 +106,13 @@ def whitespace(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text; a piece that ends in an abbreviation takes in the next one. Blank texts have none."""
-    pieces = F.filter(F.transform(F.split(strip(text), SENTENCE), strip), lambda s: s != "")
-    word = lambda s: F.lower(F.regexp_extract(s, r"(?U)([\w.]+)\.$", 1))
+    """Sentences of a text; one that would end in an abbreviation takes in the next one. Blank texts have none.
 
-    def add(done: Column, piece: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & word(F.when(F.size(done) > 0, last)).isin(*ABBREVIATIONS)
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), piece)))).otherwise(F.concat(done, F.array(piece)))
-
-    return F.aggregate(pieces, F.array().cast("array<string>"), add)
+    Boundaries are marked by two replacements and cut at, so the work grows with the text.
+    """
+    whole = F.regexp_replace(strip(text), "(?U)" + _ABBREVIATED + SENTENCE, " ")
+    marked = F.regexp_replace(whole, "(?U)" + _ABBREVIATED.replace("(?<=", "(?<!", 1) + SENTENCE, _CUT)
+    return F.filter(F.transform(F.split(marked, _CUT), strip), lambda s: s != "")
 
 
 def refused(answer: Column) -> Column:

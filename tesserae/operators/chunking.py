@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,12 +55,17 @@ def paragraphs(text: Column, separator: str = PARAGRAPH) -> Column:
     return F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def units(text: Column, size: int, separator: str = PARAGRAPH) -> Column:
-    """Paragraphs, the long ones as runs of sentences, and the long sentences as runs of words."""
+    """Paragraphs, the long ones as runs of sentences, and runs that are longer still, of one sentence each, as runs of words."""
     words = lambda s: pack(F.filter(F.split(s, r"\s+"), lambda w: w != ""), size, " ")
-    by_word = lambda p: F.flatten(F.transform(sentences(p), lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(words(s))))
+    cut = lambda runs: F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= size, F.array(r)).otherwise(words(r))))
     joined = attach_headings(paragraphs(text, separator))
-    return F.flatten(F.transform(joined, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(pack(by_word(p), size, " "))))
+    return F.flatten(F.transform(joined, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(pack(sentences(p), size, " ")))))
 
 
 def overlap_text(body: Column, overlap: int) -> Column:
@@ -75,11 +82,14 @@ def overlap_text(body: Column, overlap: int) -> Column:
 
 def bodies(text: Column, size: int = SIZE, separator: str = PARAGRAPH, min_tail: int = MIN_TAIL) -> Column:
     """Bodies of chunks; a last one shorter than ``min_tail`` joins the one before it, whatever the size."""
-    found = pack(units(text, size, separator), size, separator)
-    n = F.size(found)
-    tail = F.concat(F.element_at(found, -2), F.lit(separator), F.element_at(found, -1))
-    short = (n > 1) & (F.length(F.try_element_at(found, F.lit(-1))) < min_tail)
-    return F.when(short, F.concat(F.slice(found, 1, F.greatest(n - 2, F.lit(0))), F.array(tail))).otherwise(found)
+
+    def whole(found: Column) -> Column:
+        n = F.size(found)
+        tail = F.concat(F.element_at(found, -2), F.lit(separator), F.element_at(found, -1))
+        short = (n > 1) & (F.length(F.try_element_at(found, F.lit(-1))) < min_tail)
+        return F.when(short, F.concat(F.slice(found, 1, F.greatest(n - 2, F.lit(0))), F.array(tail))).otherwise(found)
+
+    return _let(pack(units(text, size, separator), size, separator), whole)
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separator: str = PARAGRAPH) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tesserae.functions.periods import agreement
 from tesserae.functions.text import tokenize
@@ -73,13 +74,19 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
-    """``qid, id, score, rank``: documents that share a term, by rounded BM25, then id. ``docs``: id, text; ``questions``: qid, text."""
+    """``qid, id, score, rank``: documents that share a term, by rounded BM25, then id. ``docs``: id, text; ``questions``: qid, text.
+
+    Postings of the asked terms are kept, by document, so the corpus is cut into
+    tokens once for them; as they lie by document, a document's scores for all
+    questions are summed where it is, and only each task's best rows are exchanged.
+    """
     wanted = query_terms(questions)
     n, average = corpus_stats(docs)
-    found = postings(docs, wanted).withColumn("weight", tf_weight(F.col("tf"), F.col("length"), average, k1, b))
-    rated = found.join(_small(terms_of(found, n).select("term", "idf")), "term").select("term", "id", (F.col("weight") * F.col("idf")).alias("w"))
-    scored = rated.join(_small(wanted), "term").groupBy("qid", "id").agg(F.round(F.sum("w"), DIGITS).alias("score"))
-    return top(scored, k, F.desc("score"), F.asc("id"))
+    found = postings(docs, wanted).repartition("id").persist(StorageLevel.MEMORY_AND_DISK)
+    asked = wanted.join(terms_of(found, n).select("term", "idf"), "term")
+    rated = found.withColumn("weight", tf_weight(F.col("tf"), F.col("length"), average, k1, b)).select("term", "id", "weight")
+    scored = rated.join(_small(asked), "term").groupBy("id", "qid").agg(F.round(F.sum(F.col("weight") * F.col("idf")), DIGITS).alias("score"))
+    return top(scored.select("qid", "id", "score"), k, F.desc("score"), F.asc("id"))
 
 
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = K, where: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:

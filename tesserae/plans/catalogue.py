@@ -49,4 +49,4 @@ def rounded(c: str, digits: int = 6):
     return F.round(F.col(c), digits)
 
 
-from tesserae.plans import catalogue_corpus, catalogue_eval, catalogue_retrieval  # noqa: E402,F401
+from tesserae.plans import catalogue_corpus, catalogue_eval, catalogue_retrieval, catalogue_text  # noqa: E402,F401

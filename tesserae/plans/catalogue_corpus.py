@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import periods, text
 from tesserae.operators import chunking, corpus
-from tesserae.plans.catalogue import inline, query, values
+from tesserae.plans.catalogue import query
 from tesserae.session import table
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents)"
@@ -88,11 +88,6 @@ def hrefs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("theme", "seed", F.explode(F.array_distinct("hs")).alias("title"))
 
 
-@query(f"WITH {HREFS} SELECT theme, seed, title FROM l")
-def q_links(spark: SparkSession, d: str) -> DataFrame:
-    return hrefs(spark, d)
-
-
 @query(f"WITH {HREFS} SELECT theme, title, count(DISTINCT seed)::INT AS seed_count FROM l GROUP BY theme, title HAVING count(DISTINCT seed) >= 2")
 def q_rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return corpus.rank_candidates(hrefs(spark, d))
@@ -107,35 +102,6 @@ def q_curate(spark: SparkSession, d: str) -> DataFrame:
     return corpus.curate(links, seeds).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
-TARGETS = [
-    ("Rome#History", "Rome"), ("World_War_I", "World War I"), ("tariff", "Tariff"), ("  Rome  ", "Rome"), ("Category:X", None), (":Category:X", None), ("File:a.jpg", None),
-    ("Star Trek: The Next Generation", "Star Trek: The Next Generation"), ("#Top", None), ("wikt:word", None), ("élan", "Élan"), ("Help:", "Help:"), (" : rome", "Rome"),
-]
-
-
-@query(values([t for t in TARGETS], "raw, title"))
-def q_normalise_target(spark: SparkSession, d: str) -> DataFrame:
-    return inline(spark, [(t,) for t, _ in TARGETS], "raw string").select("raw", text.normalise_target(F.col("raw")).alias("title"))
-
-
-CONTENT = [
-    ("Outline of the Cold War", "x", True), ("LIST OF treaties", "x", True), ("Versailles (disambiguation)", "x", True), ("Mercury", "{{disambiguation}} may mean", True),
-    ("Old name", "  #REDIRECT [[New]]", True), ("Schindler's List", "a film", False), ("Stub", "short {{stub}}", False), ("Listening", "x", False), ("Dab", "{{Dab|x}}", True),
-]
-
-
-@query(values(CONTENT, "title, wikitext, dropped"))
-def q_non_content(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [r[:2] for r in CONTENT], "title string, wikitext string")
-    return rows.withColumn("dropped", text.is_non_content(F.col("title"), F.col("wikitext")))
-
-
-@query(f"""SELECT md5(text) AS page, count(*) AS copies, array_to_string(list_sort(list(DISTINCT source)), ',') AS themes, max(doc_id) AS newest, arg_max(lang, doc_id) AS lang FROM {DOCS} GROUP BY text""")
-def q_dedup_group(spark: SparkSession, d: str) -> DataFrame:
-    rows = docs(spark, d).groupBy(F.md5("text").alias("page")).agg(F.count("*").alias("copies"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("themes"), F.max("doc_id").alias("newest"), F.max_by("lang", "doc_id").alias("lang"))
-    return rows
-
-
 @query(f"SELECT d.doc_id, d.lang FROM {DOCS} d ANTI JOIN labels l ON d.doc_id = l.doc_id")
 def q_resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return corpus.unindexed(docs(spark, d).select("doc_id", "lang"), table(spark, d, "labels"), "doc_id")
@@ -166,12 +132,6 @@ def q_ingest_batches(spark: SparkSession, d: str) -> DataFrame:
     return corpus.pending(rows, done)
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)\b.*?</(script|style)>', '', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g') AS text FROM pages")
-def q_html_clean(spark: SparkSession, d: str) -> DataFrame:
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)\b.*?</(script|style)>", ""), "<[^>]*>", " ")
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(bare, "[ \t\r\n]+", " ").alias("text"))
-
-
 @query(r"""SELECT theme, title, rule FROM (SELECT source AS theme, lang AS title, doc_id % 3 AS seed_count, doc_id FROM documents), LATERAL (SELECT unnest(list_filter([CASE WHEN seed_count < 1 THEN 'seed_count' END, CASE WHEN NOT regexp_full_match(theme, '[a-z0-9-]+') THEN 'theme' END], lambda x: x IS NOT NULL)) AS rule)""")
 def q_registry_violations(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("source").alias("theme"), F.col("lang").alias("title"), (F.col("doc_id") % 3).cast("int").alias("seed_count"))

@@ -105,16 +105,6 @@ def q_gate(spark: SparkSession, d: str) -> DataFrame:
     return E.gate(summary(rows), summary(rows.where("doc_id % 2 = 0"))).where(F.col("name").isin(GATE_NAMES))
 
 
-META_A = {"embedding_model": "e", "generation_model": "g", "collection": "c", "points": "10", "k": "5", "reranker": "none", "hybrid": "false"}
-META_B = META_A | {"reranker": "r", "points": "11"}
-
-
-@query(values([(n, META_A.get(n), META_B.get(n), "declared changed" if n in ("reranker", "k") else "equal", "fail" if n in ("k", "points") else ("warn" if n == "reranker" else "pass")) for n in E.COMPARABLE], "name, baseline, candidate, rule, status"))
-def q_gate_comparability(spark: SparkSession, d: str) -> DataFrame:
-    meta = lambda m: inline(spark, [tuple(m.get(n) for n in E.COMPARABLE)], ", ".join(f"{n} string" for n in E.COMPARABLE)).withColumns({n: F.col(n) for n in E.COMPARABLE})
-    return E.comparable(meta(META_A), meta(META_B), ("reranker", "k"))
-
-
 @query(f"""WITH {VEC}, {BM25}, pools AS (SELECT qid, id, rank, 0 AS arm FROM dense WHERE rank <= 50 UNION ALL SELECT qid * 50, id, rank, 1 FROM sparse WHERE rank <= 50),
 keys AS (SELECT v.vec_id AS qid, w.vec_id AS id FROM embeddings v JOIN embeddings w ON v.label = w.label WHERE v.vec_id % 50 = 0),
 configs AS (SELECT * FROM (VALUES ('dense', 0.0, 60), ('half', 0.5, 60), ('equal', 1.0, 60), ('sharp', 1.0, 10)) t(config, weight, rrf_k)),
@@ -203,21 +193,6 @@ def q_prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return answers.prompts(questions(spark, d), rows).withColumn("sources", F.col("sources").cast("long"))
 
 
-ANSWERS = [
-    ("Not in the sources. It may be 1919.", True, "", "", False), ("The treaty [1] was signed [3][1]. The sources do not cover more [7].", False, "1,3,1,7", "1,3", None),
-    ("In 1956, 699 died [2].", False, "2", "2", True), ("About 1,485 men [0].", False, "0", "", False), ("It cost 41,291 dollars.", False, "", "", None), ("the sources do not provide that!", True, "", "", None),
-]
-FORMS = [["699"], [], ["699", "700"], ["485"], [], []]
-
-
-@query(values([(a, r, m, c, f) for a, r, m, c, f in ANSWERS], "answer, refused, markers, cited, states_fact"))
-def q_refused_citations_facts(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [(a[0], f) for a, f in zip(ANSWERS, FORMS, strict=True)], "answer string, forms array<string>")
-    a = F.col("answer")
-    join = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return rows.select("answer", text.refused(a).alias("refused"), join(text.markers(a)).alias("markers"), join(text.cited(a, F.lit(5))).alias("cited"), text.states_fact(a, F.col("forms")).alias("states_fact"))
-
-
 @query(r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), n AS (SELECT item_id, list_transform(range(1, greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i:i+5], ' ')) AS gs FROM b),
 d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS s FROM documents WHERE doc_id % 50 = 0)
 SELECT item_id, doc_id, len(list_filter(gs, lambda g: contains(s, g))) > 0 AS copied FROM n, d""")
@@ -263,62 +238,11 @@ def q_cache_replay(spark: SparkSession, d: str) -> DataFrame:
 query()(q_cache_replay)
 
 
-VERDICTS = [("SUPPORTED - stated in [1]", True, "stated in [1]"), ("NOT SUPPORTED - no source says so\nmore", False, "no source says so"), ("not supported", False, ""), ("Unclear", None, ""), ("supported: yes", True, "")]
-
-
-@query(values(VERDICTS, "reply, supported, reason"))
-def q_verdict_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [(r,) for r, *_ in VERDICTS], "reply string").withColumn("v", text.parse_verdict(F.col("reply")))
-    return rows.select("reply", "v.supported", "v.reason")
-
-
-SPLITS = [
-    (["It employed 91,015 full-time, including 2,000 collaborators."], True), (["It employed 2,000 collaborators."], False), ([], False), (["A and B.", "The source says so."], False), (["Plain one.", "Plain two."], True),
-]
-
-
-@query(values([(" / ".join(c), ok) for c, ok in SPLITS], "claims, passed"))
-def q_split_probe(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [(c,) for c, _ in SPLITS], "c array<string>")
-    require = F.array(F.struct(F.lit("2,000").alias("when"), F.lit("91,015").alias("then")))
-    ok = E.split_check(F.col("c"), require, F.array(F.lit("(?i)the source")), F.lit(1), F.lit(False))
-    return rows.select(F.array_join("c", " / ").alias("claims"), ok.alias("passed"))
-
-
-CLEANED = [
-    ("rewrite", ' "Who signed it?" ', "Who signed it?"), ("rewrite", "two\nlines", "q"), ("rewrite", "  ", "q"), ("hyde", "short", None), ("hyde", "long  " + "word " * 40, "long " + ("word " * 40).strip()),
-    ("id", "30030:1:2", "syn-30030-1-2"), ("template", " Infobox <!-- x -->\n treaty ", "infobox treaty"),
-]
-
-
-@query(values(CLEANED, "kind, raw, cleaned"))
-def q_cleaners(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [(k, r) for k, r, _ in CLEANED], "kind string, raw string")
-    raw = F.col("raw")
-    cleaned = F.when(F.col("kind") == "rewrite", text.rewrite_clean(raw, F.lit("q"))).when(F.col("kind") == "hyde", text.hyde_clean(raw)).when(F.col("kind") == "id", text.question_id(raw)).otherwise(text.template_name(raw))
-    return rows.select("kind", "raw", cleaned.alias("cleaned"))
-
-
-DECIDED = [("Draft one.", "<answer>Better one.</answer>", "Better one.", True), ("Draft.", "no block", "Draft.", False), ("Draft.", "<answer> Not in the sources. </answer>", "Draft.", False), ("Same  words.", "<answer>Same words.</answer>", "Same words.", False)]
-
-
-@query(values(DECIDED, "draft, reply, answer, revised"))
-def q_verify_decide(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [r[:2] for r in DECIDED], "draft string, reply string").withColumn("x", text.verify_decide(F.col("draft"), F.col("reply")))
-    return rows.select("draft", "reply", "x.answer", "x.revised")
-
-
 @query("SELECT doc_id, substr(sha256(concat_ws(chr(31), lang, source, doc_id::VARCHAR)), 1, 16) AS fingerprint FROM documents")
 def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("lang"), F.col("source"), F.col("doc_id")).alias("fingerprint"))
 
 
-@query(r"""SELECT item_id, CASE WHEN right(q, 1) = '?' AND length(q) BETWEEN 25 AND 220 AND NOT (contains(lower(q), 'the text') OR contains(lower(q), 'the article')) THEN TRUE ELSE FALSE END AS usable FROM (SELECT item_id, trim(substr(text, 1, 60)) || CASE WHEN item_id % 2 = 0 THEN '?' ELSE '' END AS q FROM benchmark)""")
-def q_usable(spark: SparkSession, d: str) -> DataFrame:
-    q = F.concat(F.trim(F.substring("text", 1, 60)), F.when(F.col("item_id") % 2 == 0, "?").otherwise(""))
-    return table(spark, d, "benchmark").select("item_id", text.usable(q, F.lit("another text altogether")).alias("usable"))
-
-
 @query("""WITH r AS (SELECT conv_id AS id, min(turn) AS a, max(turn) AS b FROM conversations GROUP BY conv_id) SELECT id, rule FROM (SELECT id::VARCHAR AS id, unnest(list_filter([CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN 'no key' END, CASE WHEN id % 3 = 0 AND id % 2 = 1 THEN 'key of an unanswerable question' END, CASE WHEN id % 5 = 0 THEN 'history' END], lambda x: x IS NOT NULL)) AS rule FROM r)""")
 def q_question_violations(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("n")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import periods, text
 from tesserae.operators import retrieval as R
-from tesserae.plans.catalogue import inline, query, values
+from tesserae.plans.catalogue import inline, query
 from tesserae.plans.search import SearchConfig, search
 from tesserae.session import table
 
@@ -208,21 +208,6 @@ def q_search_dense(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", "id", "doc_id", "page_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-PERIODS = [
-    ("What happened from 1973 to 1993?", 1973, 1993), ("The crisis of 1979–1985", 1979, 1985), ("Who ruled in 1916?", 1916, 1916), ("the middle of 1940 and early 1941", 1940, 1941),
-    ("life in the 1970s", 1970, 1979), ("the early 1980s", 1980, 1983), ("in the late 1930s", 1936, 1939), ("the mid-1960s", 1964, 1966), ("the First World War", 1914, 1918),
-    ("early Cold War spies", 1947, 1962), ("what came after 1918", None, None), ("after the war", None, None), ("members after 2007", None, None),
-    ("after the war, between 1947 and 1953", 1947, 1953), ("the 1919 treaty ending the First World War", 1919, 1919), ("the 1950s and 1960s", 1950, 1969),
-    ("late 1930s to the early 1950s", 1936, 1953), ("1799 men", None, None), ("from 1993 to 1973", 1973, 1993), ("nothing dated", None, None),
-]
-
-
-@query(values(PERIODS, "question, start, \"end\""))
-def q_parse_period(spark: SparkSession, d: str) -> DataFrame:
-    rows = inline(spark, [(q,) for q, *_ in PERIODS], "question string").withColumn("p", periods.parse_period(F.col("question")))
-    return rows.select("question", "p.start", "p.end")
-
-
 @query("""WITH s AS (SELECT o_custkey, year(min(o_orderdate)) AS ys, year(max(o_orderdate)) AS ye FROM orders GROUP BY o_custkey),
 e AS (SELECT * FROM (VALUES ('a', 1992, 1994), ('b', 1995, 1995), ('c', 1997, 2001)) t(era, s, e))
 SELECT era, o_custkey, ys, ye, round((least(e, ye) - greatest(s, ys) + 1) / (greatest(e, ye) - least(s, ys) + 1), 6) AS agreement FROM s JOIN e ON ys <= e AND ye >= s""")

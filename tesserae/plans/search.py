@@ -50,7 +50,8 @@ def search(chunks: DataFrame, questions: DataFrame, config: SearchConfig = Searc
     else:
         ranked = dense.withColumn("sparse_score", F.lit(None).cast("double"))
     where = chunks.select("id", "doc_id", "page_id")
-    ranked = where.join(F.broadcast(ranked) if R.few(ranked) else ranked, "id")
+    most = 200_000 // (pool * len(arms))  # each arm gives a question `pool` rows, so the number of questions bounds the list
+    ranked = where.join(F.broadcast(ranked) if R.few(questions.select("qid"), most) else ranked, "id")
     if rerank_score is not None:
         ranked = R.rerank(ranked, rerank_score)
     return R.thin(ranked, config.k, config.max_per_document, config.max_per_article)

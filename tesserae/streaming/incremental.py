@@ -16,16 +16,29 @@ from tesserae.operators.answers import MAX_ENTRIES, THRESHOLD, SemanticCache
 from tesserae.sources import schemas as S
 
 
+#: Folders of a Gold table that is kept by a stream; more for a larger one.
+BUCKETS = 64
+
+
 def stream_bronze(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.schema(S.BRONZE).option("recursiveFileLookup", "true").parquet(root)
 
 
 def index_new(spark: SparkSession, bronze: str, gold: str, checkpoint: str, size: int = 1200, overlap: int = 150) -> StreamingQuery:
-    """Chunk what has come since the last run. A batch that is replayed replaces its own chunks, so the table has each once."""
+    """Chunk the pages that have come since the last run; a page's chunks replace those that it had.
+
+    Pages lie in ``BUCKETS`` folders by their id. A batch rewrites only the folders
+    of its pages, from all Bronze revisions of these (so themes of earlier batches
+    are merged), and a batch that is replayed writes the same again.
+    """
+    bucket = lambda: F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        chunks = corpus.build_gold(corpus.build_silver(batch), size, overlap)
-        chunks.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(gold)
+        touched = batch.select(bucket().alias("bucket")).distinct()
+        known = spark.read.schema(S.BRONZE).option("recursiveFileLookup", "true").parquet(bronze).where("page_id is not null").withColumn("bucket", bucket())
+        pages = known.unionByName(batch.where("page_id is not null").withColumn("bucket", bucket())).join(F.broadcast(touched), "bucket", "left_semi")
+        chunks = corpus.build_gold(corpus.build_silver(pages.drop("bucket").distinct()), size, overlap)
+        chunks.withColumn("bucket", bucket()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(gold)
 
     return stream_bronze(spark, bronze).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
