@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import is_non_content, wiki_categories, wiki_links
+from tesserae.functions.text import is_non_content, term_id, tokenize, wiki_categories, wiki_links
 from tesserae.operators.chunking import OVERLAP, SIZE, chunk_documents, infobox_chunks
 from tesserae.operators.markup import MIN_SECTION, parsed
+from tesserae.operators.retrieval import corpus_stats, tf_weight
 from tesserae.sources import schemas as S
-from tesserae.sources.seams import MAX_TITLES, RevisionSource
+from tesserae.sources.seams import MAX_TITLES, Embedder, RevisionSource, embed
 
 MIN_SEEDS = 2
 
@@ -111,6 +112,20 @@ def unindexed(chunks: DataFrame, index: DataFrame, key: str = "chunk_id") -> Dat
     return chunks.join(index.select(key), key, "left_anti")
 
 
+def build_index(gold: DataFrame, embedder: Embedder, index: DataFrame | None = None, batch: int = 200) -> DataFrame:
+    """Rows for the index: payload, vector, and the term weights of BM25; with ``index``, of the chunks that it lacks.
+
+    The average length is one aggregate over all chunks, those that the index has
+    included, so a resumed build gives the weights of a whole one. A chunk's terms
+    are weighted where it lies.
+    """
+    _, average = corpus_stats(gold)
+    rows = payload(gold if index is None else unindexed(gold, index)).withColumn("__tokens", tokenize(F.col("text")))
+    weight = lambda t: tf_weight(F.size(F.filter("__tokens", lambda x: x == t)), F.size("__tokens"), average)
+    rows = rows.withColumn("sparse", F.transform(F.array_distinct("__tokens"), lambda t: F.struct(term_id(t).alias("term_id"), weight(t).alias("weight"))))
+    return embed(rows.drop("__tokens"), embedder, batch=batch)
+
+
 def upsert(index: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The index with the rows put in, the same key replaced."""
     return index.join(rows.select(key), key, "left_anti").unionByName(rows)
