@@ -22,6 +22,10 @@ class Settings:
     chunk_overlap: int = 150
     hybrid: bool = False
     temporal: bool = False
+    conversation: bool = False
+    reranker: str = ""
+    generation_model: str = ""
+    max_per_article: int = 0
     rrf_k: int = 60
     run_ceiling: float = 0.5
     day_ceiling: float = 1.0

@@ -103,6 +103,39 @@ class FixedSource:
         return FetchResult(found, missing)
 
 
+@dataclass(frozen=True)
+class WikiSource:
+    """Newest revisions of a wiki, through ``get``, which sends the parameters of a query and gives its JSON; it must be picklable.
+
+    Titles that the wiki normalises or redirects are followed, loops are missing, and
+    so is a page without an id, a revision or a main slot. Each found page bears
+    the title that was asked for.
+    """
+
+    get: Callable[[dict[str, str]], dict]
+
+    def fetch_batch(self, titles: Sequence[str]) -> FetchResult:
+        if len(titles) > MAX_TITLES:
+            raise ValueError(f"{len(titles)} titles; {MAX_TITLES} at most")
+        if not titles:
+            return FetchResult([], [])
+        asked = {"action": "query", "format": "json", "formatversion": "2", "prop": "revisions", "rvprop": "ids|timestamp|content", "rvslots": "main", "redirects": "1", "titles": "|".join(titles)}
+        reply = self.get(asked).get("query", {})
+        leads = {step["from"]: step["to"] for kind in ("normalized", "redirects") for step in reply.get(kind, [])}
+        pages = {row["title"]: row for page in reply.get("pages", []) if (row := _page(page))}
+        found = FixedSource(pages, leads).fetch_batch(titles)
+        return FetchResult(found.revisions, found.missing)
+
+
+def _page(page: dict) -> dict | None:
+    """A page of a reply as a Bronze row has it; None if a part is lacking."""
+    newest = next(iter(page.get("revisions") or []), {})
+    text = newest.get("slots", {}).get("main", {}).get("content")
+    if page.get("pageid") is None or newest.get("revid") is None or text is None:
+        return None
+    return {"page_id": page["pageid"], "title": page["title"], "revision_id": newest["revid"], "revision_timestamp": newest.get("timestamp"), "wikitext": text}
+
+
 class Unavailable(RuntimeError):
     """A service that still failed after the retries."""
 
