@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.session import few
+from tesserae.session import few, sent
 
 EPSILON = 1e-9
 # Fields of a run that change what its numbers mean, and what a gate lets pass.
@@ -130,6 +130,24 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return found if rest.isEmpty() else found.unionByName(docs.join(put(rest), F.contains("text", F.col("passage"))).select("qid", "id"))
 
 
+def copied(docs: DataFrame, questions: DataFrame, window: int = text.COPY_WINDOW) -> DataFrame:
+    """``qid, id`` of documents that hold ``window`` words of a question in a row, as ``text.copies_source`` sees it.
+
+    A run's first and last word may end inside a document's, the others are whole
+    there: those fetch candidates, which alone are searched. ``docs``: id, text;
+    ``questions``: qid, text.
+    """
+    inner = window - 2
+    runs = lambda words, n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, inner))))
+    asked = questions.select("qid", F.col("text").alias("question")).withColumn("__w", text.words_ascii(F.col("question")))
+    whole = asked.select("qid", "question")
+    keys = asked.select("qid", F.explode(F.array_distinct(runs(F.slice("__w", 2, F.greatest(F.size("__w") - 2, F.lit(0))), inner))).alias("run"))
+    there = docs.select("id", text.words_ascii(F.col("text")).alias("__w")).select("id", F.explode(F.array_distinct(runs(F.col("__w"), inner))).alias("run"))
+    pairs = there.join(sent(keys), "run").select("qid", "id").distinct()
+    rows = docs.select("id", "text").join(pairs, "id").join(sent(whole), "qid")
+    return rows.where(text.copies_source(F.col("question"), F.col("text"), window)).select("qid", "id")
+
+
 def _unpivot(row: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     values = [F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value"), F.col(n).cast("string").try_cast("double").alias("number")) for n in names]
     return row.select(*keys, F.explode(F.array(*values)).alias("x")).select(*keys, "x.*")
@@ -164,13 +182,13 @@ def sweep(pools: DataFrame, configs: DataFrame, keys: DataFrame, k: int = 20) ->
     ``pools``: qid, id, rank, arm (0 dense, 1 sparse); ``configs``: config, weight,
     rrf_k; ``keys``: qid, id. Weight 0 leaves the dense order.
     """
-    rows = pools.join(F.broadcast(configs))  # as many copies of the pools as there are configs
+    rows = pools.join(sent(configs))  # as many copies of the pools as there are configs
     w = F.when(F.col("arm") == 0, F.lit(1.0)).otherwise(F.col("weight"))
     fused = rows.groupBy("config", "qid", "id").agg(F.round(F.sum(w / (F.col("rrf_k") + F.col("rank"))), 9).alias("fused"), F.min(F.struct("arm", "rank")).alias("tie"))
     order = W.partitionBy("config", "qid").orderBy(F.desc("fused"), "tie", "id")
     ranked = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     hits = ranked.join(keys, ["qid", "id"]).groupBy("config", "qid").agg(F.min("rank").alias("first"))
-    asked = keys.select("qid").distinct().join(F.broadcast(configs.select("config")))
+    asked = keys.select("qid").distinct().join(sent(configs.select("config")))
     each = asked.join(hits, ["config", "qid"], "left")
     share = lambda d: F.avg((F.coalesce("first", F.lit(10**6)) <= d).cast("double"))
     return each.groupBy("config").agg(F.count("*").alias("questions"), share(5).alias("recall_at_5"), share(20).alias("recall_at_20"), F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr"))

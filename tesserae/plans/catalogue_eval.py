@@ -11,7 +11,7 @@ from tesserae.operators import evaluation as E
 from tesserae.operators import retrieval as R
 from tesserae.plans.catalogue import inline, query, values
 from tesserae.plans.catalogue_retrieval import BM25, VEC, docs, questions, vector_questions, vectors
-from tesserae.session import table
+from tesserae.session import sent, table
 
 
 @query("SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -29,7 +29,8 @@ def records(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     ranked = R.bm25_topk(docs(spark, d), questions(spark, d), k)
     found = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("doc_id"), (F.col("id") % 100).alias("page_id"), "score"))).alias("retrieved"))
     keys = E.containing(docs(spark, d), questions(spark, d)).groupBy("qid").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("expected_doc_ids"))
-    rows = questions(spark, d).select("qid").join(F.broadcast(found), "qid", "left").join(F.broadcast(keys), "qid", "left")
+    asked = questions(spark, d).select("qid")
+    rows = asked.join(sent(found, asked), "qid", "left").join(sent(keys, asked), "qid", "left")  # a row a question each
     answer = F.expr(ANSWER)
     none = F.array().cast("array<string>")
     return rows.select(
@@ -118,7 +119,7 @@ def q_sweep(spark: SparkSession, d: str) -> DataFrame:
     sparse = R.bm25_topk(docs(spark, d), questions(spark, d).withColumn("qid", F.col("qid") * 50), 50).select("qid", "id", "rank", F.lit(1).alias("arm"))
     configs = inline(spark, [("dense", 0.0, 60), ("half", 0.5, 60), ("equal", 1.0, 60), ("sharp", 1.0, 10)], "config string, weight double, rrf_k int")
     e = table(spark, d, "embeddings")
-    keys = F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")).join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("qid", "id")
+    keys = sent(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")).join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("qid", "id")
     rows = E.sweep(dense.unionByName(sparse), configs, keys)
     return rows.select("config", "questions", *(F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_20", "mrr")))
 
@@ -189,17 +190,17 @@ def q_conversation_window(spark: SparkSession, d: str) -> DataFrame:
 SELECT q.item_id AS qid, coalesce(sources, 0) AS sources, coalesce(bs, 'No sources were found.') || chr(10) || chr(10) || '# QUESTION' || chr(10) || chr(10) || q.text AS prompt FROM benchmark q LEFT JOIN b ON b.qid = q.item_id""")
 def q_prompt_blocks(spark: SparkSession, d: str) -> DataFrame:
     ranked = R.bm25_topk(docs(spark, d), questions(spark, d), 5)
-    rows = docs(spark, d).join(F.broadcast(ranked), "id").select("qid", "rank", text.source_label(F.col("source"), F.col("lang")).alias("title"), "text")
+    rows = docs(spark, d).join(sent(ranked, questions(spark, d), 5), "id").select("qid", "rank", text.source_label(F.col("source"), F.col("lang")).alias("title"), "text")
     return answers.prompts(questions(spark, d), rows).withColumn("sources", F.col("sources").cast("long"))
 
 
 @query(r"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), n AS (SELECT item_id, list_transform(range(1, greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i:i+5], ' ')) AS gs FROM b),
-d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS s FROM documents WHERE doc_id % 50 = 0)
-SELECT item_id, doc_id, len(list_filter(gs, lambda g: contains(s, g))) > 0 AS copied FROM n, d""")
+d AS (SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS s FROM documents)
+SELECT item_id, doc_id FROM n, d WHERE len(list_filter(gs, lambda g: contains(s, g))) > 0""")
 def q_copy_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    queries = table(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id", F.col("text").alias("body"))  # the stated query set
-    pairs = queries.join(F.broadcast(table(spark, d, "benchmark")))
-    return pairs.select("item_id", "doc_id", text.copies_source(F.col("text"), F.col("body")).alias("copied"))
+    """Which benchmark items share a run of words with which documents, of all pairs."""
+    found = E.copied(docs(spark, d), questions(spark, d))
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, lang || '/' || source AS page_id, md5(doc_id || '/7') AS pick FROM documents WHERE length(text) >= 400), o AS (SELECT page_id, min(pick) AS pick, arg_min(doc_id, pick) AS chunk_id FROM c GROUP BY page_id)

@@ -9,7 +9,7 @@ from tesserae.functions import periods, text
 from tesserae.operators import retrieval as R
 from tesserae.plans.catalogue import inline, query
 from tesserae.plans.search import SearchConfig, search
-from tesserae.session import table
+from tesserae.session import sent, table
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -154,17 +154,17 @@ FROM sparse s JOIN toks t USING (id) JOIN benchmark b ON b.item_id = s.qid WHERE
 SELECT qid, id, score, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, rank) AS rank FROM r""")
 def q_rerank_head(spark: SparkSession, d: str) -> DataFrame:
     ranked = R.bm25_topk(docs(spark, d), questions(spark, d), 40)
-    seen = docs(spark, d).select("id", "text").join(F.broadcast(ranked), "id")
+    seen = docs(spark, d).select("id", "text").join(sent(ranked, questions(spark, d), 40), "id")
     asked = questions(spark, d).select("qid", F.array_distinct(text.tokenize(F.col("text"))).alias("asked"))
     overlap = F.size(F.array_intersect("asked", text.tokenize(F.col("text")))).cast("double")
-    rows = R.rerank(seen.join(F.broadcast(asked), "qid"), overlap)
+    rows = R.rerank(seen.join(sent(asked), "qid"), overlap)
     return rows.select("qid", "id", "score", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
 
 def _thinned(spark: SparkSession, d: str, per_document: int | None, per_article: int | None) -> DataFrame:
     ranked = R.bm25_topk(docs(spark, d), questions(spark, d), 80)
     where = docs(spark, d).select("id", F.concat_ws("/", "lang", "source").alias("doc_id"), F.col("lang").alias("page_id"))
-    rows = R.thin(where.join(F.broadcast(ranked), "id"), 20, per_document, per_article)
+    rows = R.thin(where.join(sent(ranked, questions(spark, d), 80), "id"), 20, per_document, per_article)
     return rows.select("qid", "id", "doc_id", "page_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -194,7 +194,7 @@ SELECT qid, id, doc_id, page_id, score, sparse_score, rank FROM (SELECT *, row_n
 def q_search_pipeline(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d).select("id", "vector", "year_start", "year_end")
     chunks = docs(spark, d).select("id", "text").join(v, "id", "left").withColumn("doc_id", F.col("id") % 40).withColumn("page_id", F.col("id") % 8)
-    asked = vector_questions(spark, d).join(F.broadcast(questions(spark, d).withColumn("qid", F.col("qid") * 50)), "qid")
+    asked = vector_questions(spark, d).join(sent(questions(spark, d).withColumn("qid", F.col("qid") * 50)), "qid")
     rows = search(chunks, asked, SearchConfig(k=5, hybrid=True, temporal=True, max_per_article=3))
     return rows.select("qid", "id", "doc_id", "page_id", "score", "sparse_score", F.col("rank").cast("long").alias("rank"))
 
@@ -214,5 +214,5 @@ SELECT era, o_custkey, ys, ye, round((least(e, ye) - greatest(s, ys) + 1) / (gre
 def q_period_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     spans = table(spark, d, "orders").groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("ys"), F.year(F.max("o_orderdate")).alias("ye"))
     eras = inline(spark, [("a", 1992, 1994), ("b", 1995, 1995), ("c", 1997, 2001)], "era string, s int, e int")
-    rows = spans.join(F.broadcast(eras), (F.col("ys") <= F.col("e")) & (F.col("ye") >= F.col("s")))
+    rows = spans.join(sent(eras), (F.col("ys") <= F.col("e")) & (F.col("ye") >= F.col("s")))
     return rows.select("era", "o_custkey", F.col("ys").cast("long").alias("ys"), F.col("ye").cast("long").alias("ye"), F.round(periods.agreement(F.col("s"), F.col("e"), F.col("ys"), F.col("ye")), 6).alias("agreement"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "tesserae", **conf: str) -> SparkSession:
@@ -20,3 +21,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def few(df: DataFrame, bound: int = 200_000) -> bool:
     """Whether a table has at most ``bound`` rows: then it may be sent to every task."""
     return df.limit(bound + 1).count() <= bound
+
+
+def sent(df: DataFrame, of: DataFrame | None = None, each: int = 1, bound: int = 200_000) -> DataFrame:
+    """``df``, to go to every task if it is few. Where it is costly, count ``of`` instead, a cheap table for each of whose rows it has at most ``each``."""
+    return F.broadcast(df) if few(df if of is None else of, bound // each) else df
