@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, url_filter
+from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, phrase_dedup, quality, secret_scan, suffix_dedup, toxicity, url_filter, whitening
 from tesserae.llm._shared import documents
 
 
@@ -54,8 +55,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op11_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove(documents(spark, sf_dir)).drop("spans")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op4_secret_scan, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op4_secret_scan, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules, op11_phrase_dedup, op12_whitening)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,5 +78,14 @@ m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(block, length
 SELECT h.page_id, host, path, m.rule, CASE WHEN coalesce(m.block, regexp_matches(host || path, '{_PATTERNS.replace("'", "''")}')) THEN 'block' ELSE 'allow' END AS verdict FROM h LEFT JOIN m ON m.page_id IS NOT DISTINCT FROM h.page_id"""
 
 
+PHRASES_SQL = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS at FROM t), x AS (SELECT s.r, at, sha256(array_to_string(w[at:at + 34], ' ')) AS h FROM s JOIN t ON t.r = s.r),
+c AS (SELECT r, at FROM x SEMI JOIN (SELECT h FROM x GROUP BY h HAVING count(*) > 1) y ON y.h = x.h),
+g AS (SELECT DISTINCT r, unnest(range(at, at + 35)) AS at FROM c),
+p AS (SELECT r, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM t),
+k AS (SELECT p.r, count(*) AS n, string_agg(word, ' ' ORDER BY p.at) AS kept FROM p ANTI JOIN g ON g.r = p.r AND g.at = p.at GROUP BY p.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.r = t.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": URL_SQL}
+    return {"op5_url_filter": URL_SQL, "op11_phrase_dedup": PHRASES_SQL}
