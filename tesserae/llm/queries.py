@@ -79,11 +79,11 @@ SELECT h.page_id, host, path, m.rule, CASE WHEN coalesce(m.block, regexp_matches
 
 
 PHRASES_SQL = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT r, unnest(range(1, len(w) - 33)) AS at FROM t), x AS (SELECT s.r, at, sha256(array_to_string(w[at:at + 34], ' ')) AS h FROM s JOIN t ON t.r = s.r),
-c AS (SELECT r, at FROM x SEMI JOIN (SELECT h FROM x GROUP BY h HAVING count(*) > 1) y ON y.h = x.h),
-g AS (SELECT DISTINCT r, unnest(range(at, at + 35)) AS at FROM c),
-p AS (SELECT r, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM t),
-k AS (SELECT p.r, count(*) AS n, string_agg(word, ' ' ORDER BY p.at) AS kept FROM p ANTI JOIN g ON g.r = p.r AND g.at = p.at GROUP BY p.r)
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM t), x AS (SELECT s.r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM s JOIN t ON t.r = s.r),
+c AS (SELECT r, i FROM x SEMI JOIN (SELECT h FROM x GROUP BY h HAVING count(*) > 1) y ON y.h = x.h),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM c),
+p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM t),
+k AS (SELECT p.r, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN g ON g.r = p.r AND g.i = p.i GROUP BY p.r)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.r = t.r"""
 
 
