@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprints, importance, mixing, near_dedup, packing, phrase_dedup, quality, secret_scan, suffix_dedup, toxicity, url_filter, whitening
+from tesserae.llm import conversations, fingerprints, importance, mixing, near_dedup, packing, phrase_dedup, quality, secret_scan, suffix_dedup, toxicity, url_filter, whitening
 from tesserae.llm._shared import documents
 
 
@@ -64,8 +64,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.digests(rows, conversations.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op4_secret_scan, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules, op11_phrase_dedup, op12_whitening)}
+    return {f.__name__: f for f in (op1_harmonic_packing, op2_near_dedup, op3_edit_fingerprints, op4_secret_scan, op5_url_filter, op6_weighted_mix, op7_toxicity, op8_suffix_dedup, op9_importance_resampling, op10_quality_rules, op11_phrase_dedup, op12_whitening, op13_conversation_repair)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
