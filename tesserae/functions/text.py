@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,9 +30,10 @@ BANNED = (
 TOKEN = r"[\p{L}\p{N}]+"
 # Fixed value: where a sentence may end, so that boundaries agree with those of existing chunks.
 SENTENCE = r"(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])"
+#: Between an end mark and white space: what is cheap to see is looked at first, as this is tried at every character.
+_MARK = r"(?U)(?<=[.!?])(?=\s)"
 #: Right after an abbreviation, whose stop ends no sentence.
 _ABBREVIATED = r"(?<=(?<![\w.])(?iu:" + "|".join(a.replace(".", r"\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True)) + r")\.)"
-_CUT = "\uffff"
 COPY_WINDOW = 6
 MAX_CLAIMS = 12
 
@@ -40,9 +42,18 @@ def _any(columns: list[Column]) -> Column:
     return functools.reduce(operator.or_, columns)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: What Unicode calls white space.
+_BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def tokenize(text: Column) -> Column:
@@ -108,11 +119,10 @@ def whitespace(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a text; one that would end in an abbreviation takes in the next one. Blank texts have none.
 
-    Boundaries are marked by two replacements and cut at, so the work grows with the text.
+    Gaps after abbreviations become a space and the others are cut at, so the work grows with the text.
     """
-    whole = F.regexp_replace(strip(text), "(?U)" + _ABBREVIATED + SENTENCE, " ")
-    marked = F.regexp_replace(whole, "(?U)" + _ABBREVIATED.replace("(?<=", "(?<!", 1) + SENTENCE, _CUT)
-    return F.filter(F.transform(F.split(marked, _CUT), strip), lambda s: s != "")
+    whole = F.regexp_replace(strip(text), _MARK + _ABBREVIATED + SENTENCE, " ")
+    return F.filter(F.transform(F.split(whole, _MARK + _ABBREVIATED.replace("(?<=", "(?<!", 1) + SENTENCE), strip), lambda s: s != "")
 
 
 def refused(answer: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions.periods import chunk_span
-from tesserae.functions.text import sentences, source_label, strip
+from tesserae.functions.text import let, sentences, source_label, strip
 
 SIZE, OVERLAP, MIN_TAIL, HEADING_MAX = 1200, 150, 200, 70
 PARAGRAPH = "\n\n"
@@ -55,11 +53,6 @@ def paragraphs(text: Column, separator: str = PARAGRAPH) -> Column:
     return F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def units(text: Column, size: int, separator: str = PARAGRAPH) -> Column:
     """Paragraphs, the long ones as runs of sentences, and runs that are longer still, of one sentence each, as runs of words."""
     words = lambda s: pack(F.filter(F.split(s, r"\s+"), lambda w: w != ""), size, " ")
@@ -68,8 +61,8 @@ def units(text: Column, size: int, separator: str = PARAGRAPH) -> Column:
     return F.flatten(F.transform(joined, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(pack(sentences(p), size, " ")))))
 
 
-def overlap_text(body: Column, overlap: int) -> Column:
-    """Whole sentences from the end of a body, ``overlap`` characters at most, joined by spaces."""
+def _from_end(found: Column, overlap: int) -> Column:
+    """``t``, the last sentences that fit, and ``stop``, whether one didn't."""
     seed = F.struct(F.lit("").alias("t"), F.lit(False).alias("stop"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -77,7 +70,18 @@ def overlap_text(body: Column, overlap: int) -> Column:
         stop = acc["stop"] | (F.length(t) > overlap)
         return F.struct(F.when(stop, acc["t"]).otherwise(t).alias("t"), stop.alias("stop"))
 
-    return F.aggregate(F.reverse(sentences(body)), seed, add, lambda a: a["t"])
+    return F.aggregate(F.reverse(found), seed, add)
+
+
+def overlap_text(body: Column, overlap: int) -> Column:
+    """Whole sentences from the end of a body, ``overlap`` characters at most, joined by spaces.
+
+    They are looked for in the end of the body alone, but for what may be cut off
+    there; only if all of that fits, in the whole body.
+    """
+    tail = sentences(F.right(body, F.lit(2 * overlap + 100)))
+    of_tail = _from_end(F.slice(tail, F.lit(2), F.greatest(F.size(tail) - 1, F.lit(0))), overlap)
+    return let(of_tail, lambda r: F.when(r["stop"], r["t"]).otherwise(_from_end(sentences(body), overlap)["t"]))
 
 
 def bodies(text: Column, size: int = SIZE, separator: str = PARAGRAPH, min_tail: int = MIN_TAIL) -> Column:
@@ -89,7 +93,7 @@ def bodies(text: Column, size: int = SIZE, separator: str = PARAGRAPH, min_tail:
         short = (n > 1) & (F.length(F.try_element_at(found, F.lit(-1))) < min_tail)
         return F.when(short, F.concat(F.slice(found, 1, F.greatest(n - 2, F.lit(0))), F.array(tail))).otherwise(found)
 
-    return _let(pack(units(text, size, separator), size, separator), whole)
+    return let(pack(units(text, size, separator), size, separator), whole)
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separator: str = PARAGRAPH) -> DataFrame:
@@ -101,11 +105,12 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, s
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
+    # an inner explode would have the optimizer compute the bodies again to see which rows have any
     rows = docs.withColumn("__bodies", bodies(F.col("text"), size, separator))
-    rows = rows.select(*(c for c in docs.columns if c not in ("text", "position")), "__bodies", F.posexplode("__bodies").alias("position", "__body"))
-    before = F.when(F.col("position") > 0, overlap_text(F.element_at("__bodies", F.col("position")), overlap)).otherwise(F.lit(""))
+    rows = rows.select(*(c for c in docs.columns if c not in ("text", "position")), "__bodies", F.posexplode_outer("__bodies").alias("position", "__body")).where("position is not null")
+    before = F.when(F.col("position") > 0, overlap_text(F.element_at("__bodies", F.col("position")), overlap))
     label = source_label(F.col("title"), F.col("heading"))
-    text = F.concat_ws("\n\n", label, F.when(before != "", before), F.col("__body"))
+    text = F.concat_ws("\n\n", label, F.filter(F.array(before), lambda t: t != ""), F.col("__body"))
     span = chunk_span(F.col("heading"), F.col("title"), F.col("__body"))
     rows = rows.withColumn("chunk_id", F.concat_ws(":", "doc_id", F.col("position").cast("string"))).withColumn("text", text).withColumn("__span", span)
     return rows.select("*", "__span.*").drop("__bodies", "__body", "__span")

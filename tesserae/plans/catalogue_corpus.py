@@ -52,13 +52,45 @@ def q_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", chunking.overlap_text(F.col("text"), 150).alias("overlap"))
 
 
+def folded(pieces: str, size: int, joiner: str) -> str:
+    """The greedy fold, from nothing."""
+    step = f"CASE WHEN a.c IS NULL THEN {{'d': a.d, 'c': x}} WHEN length(a.c) + 1 + length(x) > {size} THEN {{'d': list_append(a.d, a.c), 'c': x}} ELSE {{'d': a.d, 'c': a.c || {joiner} || x}} END"
+    return ended(f"list_reduce({pieces}, lambda a, x: {step}, {{'d': []::VARCHAR[], 'c': NULL::VARCHAR}})")
+
+
+def ended(fold: str) -> str:
+    return f"list_transform([{fold}], lambda r: CASE WHEN r.c IS NULL THEN r.d ELSE list_append(r.d, r.c) END)[1]"
+
+
+_HEADED = "CASE WHEN a.c IS NULL THEN x ELSE a.c || chr(10) || x END"
+HEADED = ended(
+    f"""list_reduce({PARAGRAPHS}, lambda a, x: CASE WHEN length(x) <= 70 AND NOT regexp_matches(x, '[.!?")]$') THEN {{'d': a.d, 'c': {_HEADED}}} ELSE {{'d': list_append(a.d, {_HEADED}), 'c': NULL::VARCHAR}} END, {{'d': []::VARCHAR[], 'c': NULL::VARCHAR}})"""
+)
+YEARS = r"list_transform(regexp_extract_all({}, '\b(1[89]\d{{2}}|20[0-2]\d)\b', 1), lambda y: y::INT)"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {HEADED} AS ps FROM {DOCS}),
+k AS (SELECT doc_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS text FROM p),
+r AS (SELECT doc_id, k, CASE WHEN length(text) <= 1200 THEN [text] ELSE {folded(SENTENCES, 1200, "' '")} END AS rs FROM k),
+j AS (SELECT doc_id, k, generate_subscripts(rs, 1) AS j, unnest(rs) AS run FROM r),
+w AS (SELECT doc_id, k, j, CASE WHEN length(run) <= 1200 THEN [run] ELSE {folded(r"list_filter(string_split_regex(run, '\s+'), lambda x: x <> '')", 1200, "' '")} END AS ws FROM j),
+i AS (SELECT doc_id, k, j, generate_subscripts(ws, 1) AS i, unnest(ws) AS u FROM w),
+u AS (SELECT doc_id, list(u ORDER BY k, j, i) AS us FROM i GROUP BY doc_id),
+f AS (SELECT doc_id, {folded("us", 1200, "chr(10)")} AS b FROM u),
+b AS (SELECT doc_id, CASE WHEN len(b) > 1 AND length(b[-1]) < 200 THEN list_append(b[:-3], b[-2] || chr(10) || b[-1]) ELSE b END AS b FROM f),
+c AS (SELECT doc_id, generate_subscripts(b, 1) - 1 AS position, unnest(b) AS body FROM b),
+l AS (SELECT doc_id, position, body, coalesce(lag(body) OVER (PARTITION BY doc_id ORDER BY position), '') AS text FROM c),
+s AS (SELECT doc_id, position, body, list_reverse({SENTENCES}) AS s FROM l),
+n AS (SELECT *, list_transform(range(1, len(s) + 1), lambda i: list_sum(list_transform(s[:i], lambda x: length(x))) + i - 1) AS sums FROM s),
+o AS (SELECT *, array_to_string(list_reverse(s[:len(list_filter(sums, lambda x: x <= 150))]), ' ') AS before FROM n),
+y AS (SELECT o.doc_id, position, body, before, source AS title, lang AS heading, {YEARS.format("lang")} AS yh, {YEARS.format("source")} AS yt, {YEARS.format("body")} AS yb FROM o JOIN documents d ON d.doc_id = o.doc_id),
+z AS (SELECT *, CASE WHEN len(yh) > 0 THEN yh WHEN len(yt) > 0 THEN yt ELSE yb END AS ys FROM y)
+SELECT doc_id::VARCHAR AS doc_id, doc_id AS page_id, title, heading, position, doc_id || ':' || position AS chunk_id,
+  CASE WHEN heading <> '' THEN title || ' — ' || heading ELSE title END || chr(10) || chr(10) || CASE WHEN before <> '' THEN before || chr(10) || chr(10) ELSE '' END || body AS text,
+  list_min(ys) AS year_start, list_max(ys) AS year_end, CASE WHEN len(yh) > 0 THEN 'heading' WHEN len(yt) > 0 THEN 'title' WHEN len(yb) > 0 THEN 'text' ELSE '' END AS year_source FROM z""")
 def q_chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Whole chunking, held by tests against a fold in Python."""
     rows = docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("page_id"), F.col("source").alias("title"), F.col("lang").alias("heading"), "text")
-    return chunking.chunk_documents(rows, separator="\n")
-
-
-query()(q_chunk_documents)
+    return chunking.chunk_documents(rows, separator="\n").withColumn("position", F.col("position").cast("long"))
 
 
 @query(r"""WITH t AS (SELECT o_custkey, string_agg(strftime(o_orderdate, '%Y-%m-%d'), ' ' ORDER BY o_orderkey) AS body, string_agg(o_orderpriority, ' ' ORDER BY o_orderkey) AS heading FROM orders GROUP BY o_custkey),
