@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tesserae.functions.periods import agreement
 from tesserae.functions.text import tokenize
 from tesserae.functions.vectors import cosine
+from tesserae.operators.intervals import meeting
 from tesserae.session import few
 
 K1, B = 1.5, 0.75
@@ -76,16 +76,19 @@ def query_terms(questions: DataFrame) -> DataFrame:
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
     """``qid, id, score, rank``: documents that share a term, by rounded BM25, then id. ``docs``: id, text; ``questions``: qid, text.
 
-    Postings of the asked terms are kept, by document, so the corpus is cut into
-    tokens once for them; as they lie by document, a document's scores for all
-    questions are summed where it is, and only each task's best rows are exchanged.
+    The corpus is cut into tokens for its statistics and for the postings of the
+    asked terms. Document frequencies are taken from the same exchange of postings
+    that the scores are, and only each task's best rows are exchanged after it.
     """
     wanted = query_terms(questions)
     n, average = corpus_stats(docs)
-    found = postings(docs, wanted).repartition("id").persist(StorageLevel.MEMORY_AND_DISK)
-    asked = wanted.join(terms_of(found, n).select("term", "idf"), "term")
+    found = postings(docs, wanted)
+    # counting tf keeps the exchange the same in both branches, so it is made once
+    df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    asked = wanted.join(df, "term").select("qid", "term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     rated = found.withColumn("weight", tf_weight(F.col("tf"), F.col("length"), average, k1, b)).select("term", "id", "weight")
-    scored = rated.join(_small(asked), "term").groupBy("id", "qid").agg(F.round(F.sum(F.col("weight") * F.col("idf")), DIGITS).alias("score"))
+    held = F.broadcast(asked) if few(wanted) else asked
+    scored = rated.join(held, "term").groupBy("id", "qid").agg(F.round(F.sum(F.col("weight") * F.col("idf")), DIGITS).alias("score"))
     return top(scored.select("qid", "id", "score"), k, F.desc("score"), F.asc("id"))
 
 
@@ -101,9 +104,13 @@ def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = K, where: Colu
 
 
 def within_topk(vectors: DataFrame, questions: DataFrame, k: int = K) -> DataFrame:
-    """Exact cosine among vectors whose span meets the question's: ``year_start, year_end`` against ``start, end``; undated ones never do."""
-    meets = (F.col("year_start") <= F.col("end")) & (F.col("year_end") >= F.col("start"))
-    return dense_topk(vectors, questions, k, meets, carry=("year_start", "year_end", "start", "end"))
+    """Exact cosine among vectors whose span meets the question's: ``year_start, year_end`` against ``start, end``; undated ones never do.
+
+    Spans are joined by tiles, so only pairs that meet are made.
+    """
+    pairs = meeting(vectors.select("id", "vector", "year_start", "year_end"), questions.select("qid", "query", "start", "end"), ("year_start", "year_end"), ("start", "end"))
+    scored = pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score"), "year_start", "year_end", "start", "end")
+    return top(scored, k, F.desc("score"), F.asc("id"))
 
 
 def temporal_reorder(ranked: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tesserae.functions import periods, text
 from tesserae.operators import chunking, corpus
 from tesserae.plans.catalogue import query
-from tesserae.session import table
+from tesserae.session import shared_folder, table
+from tesserae.sources.store import KeyedTable
 
 DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source, n_chars FROM documents)"
 #: Sentence boundaries without look-behind: a mark that texts don't hold stands for the blank.
@@ -145,6 +146,18 @@ def q_upsert(spark: SparkSession, d: str) -> DataFrame:
     return corpus.upsert(table(spark, d, "labels"), new, "doc_id")
 
 
+@query("""WITH a AS (SELECT doc_id, lang, source FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang, source FROM documents WHERE lang = 'de' OR doc_id % 3 = 0),
+u AS (SELECT * FROM a ANTI JOIN b USING (doc_id) UNION ALL SELECT * FROM b) SELECT doc_id, lang, coalesce('q' || l.quality, u.source) AS source FROM u LEFT JOIN labels l USING (doc_id) WHERE doc_id % 7 <> 1""")
+def q_keyed_table(spark: SparkSession, d: str) -> DataFrame:
+    """Four versions of a table kept by key: made, put in, refreshed from another table, taken out."""
+    t, rows = KeyedTable(spark, shared_folder(spark, "keyed")), table(spark, d, "documents").select("doc_id", "lang", "source")
+    t.create(rows.where("lang <> 'de'"), "doc_id", 16)
+    t.upsert(rows.where("lang = 'de' or doc_id % 3 = 0").withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "new").otherwise(F.col("lang"))))
+    t.set_payload(table(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source")), ["source"])
+    t.delete(rows.where("doc_id % 7 = 1"))
+    return t.read()
+
+
 @query("SELECT d.doc_id, d.lang, coalesce('q' || l.quality, d.source) AS source FROM documents d LEFT JOIN labels l USING (doc_id)")
 def q_payload_refresh(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("source"))

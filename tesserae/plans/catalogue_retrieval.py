@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import periods, text
+from tesserae.operators import index as X
 from tesserae.operators import retrieval as R
+from tesserae.operators.intervals import meeting
 from tesserae.plans.catalogue import inline, query
 from tesserae.plans.search import SearchConfig, search
-from tesserae.session import sent, table
+from tesserae.session import sent, shared_folder, table
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -58,6 +60,14 @@ def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25_topk(docs(spark, d), questions(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(rf"WITH {BM25} SELECT qid, id, score, rank FROM sparse WHERE rank <= 10")
+def q_term_blocks_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index of blocks that is built first and then read alone."""
+    path = shared_folder(spark, "terms")
+    X.build_term_blocks(docs(spark, d), path)
+    return X.search_term_blocks(spark, path, questions(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     spans = [F.when(F.col("vec_id") % 7 == 0, None).otherwise(1900 + F.col("vec_id") % 90).cast("int").alias("year_start"), (1900 + F.col("vec_id") % 90 + F.col("vec_id") % 11).cast("int").alias("year_end")]
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", *spans)
@@ -83,6 +93,22 @@ def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.dense_topk(vectors(spark, d), vector_questions(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(f"WITH {VEC} SELECT qid, id, score, rank FROM dense WHERE rank <= 10")
+def q_vector_lists_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every list of the index searched: exact."""
+    path = shared_folder(spark, "vectors")
+    about = X.build_vector_lists(vectors(spark, d), path, k=10)
+    return X.search_vector_lists(spark, path, vector_questions(spark, d), 10, about["lists"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def q_vector_lists_topk(spark: SparkSession, d: str) -> DataFrame:
+    """As many lists as the index measured to be enough; tests measure its recall against `q_dense_topk`."""
+    path = shared_folder(spark, "vectors")
+    X.build_vector_lists(vectors(spark, d), path, k=10)
+    return X.search_vector_lists(spark, path, vector_questions(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"WITH {VEC} SELECT qid, id, score, rank FROM win WHERE rank <= 10")
 def q_dense_within(spark: SparkSession, d: str) -> DataFrame:
     return R.within_topk(vectors(spark, d), vector_questions(spark, d), 10).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
@@ -214,5 +240,5 @@ SELECT era, o_custkey, ys, ye, round((least(e, ye) - greatest(s, ys) + 1) / (gre
 def q_period_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     spans = table(spark, d, "orders").groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("ys"), F.year(F.max("o_orderdate")).alias("ye"))
     eras = inline(spark, [("a", 1992, 1994), ("b", 1995, 1995), ("c", 1997, 2001)], "era string, s int, e int")
-    rows = spans.join(sent(eras), (F.col("ys") <= F.col("e")) & (F.col("ye") >= F.col("s")))
+    rows = meeting(spans, eras, ("ys", "ye"), ("s", "e"))
     return rows.select("era", "o_custkey", F.col("ys").cast("long").alias("ys"), F.col("ye").cast("long").alias("ye"), F.round(periods.agreement(F.col("s"), F.col("e"), F.col("ys"), F.col("ye")), 6).alias("agreement"))

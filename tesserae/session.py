@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,13 @@ def few(df: DataFrame, bound: int = 200_000) -> bool:
 def sent(df: DataFrame, of: DataFrame | None = None, each: int = 1, bound: int = 200_000) -> DataFrame:
     """``df``, to go to every task if it is few. Where it is costly, count ``of`` instead, a cheap table for each of whose rows it has at most ``each``."""
     return F.broadcast(df) if few(df if of is None else of, bound // each) else df
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path where all executors can write and read: below ``spark.checkpoint.dir``, or a temporary one of a local session."""
+    root = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tesserae-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

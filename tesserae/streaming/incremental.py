@@ -24,21 +24,35 @@ def stream_bronze(spark: SparkSession, root: str) -> DataFrame:
     return spark.readStream.schema(S.BRONZE).option("recursiveFileLookup", "true").parquet(root)
 
 
-def index_new(spark: SparkSession, bronze: str, gold: str, checkpoint: str, size: int = 1200, overlap: int = 150) -> StreamingQuery:
+def index_new(spark: SparkSession, bronze: str, gold: str, checkpoint: str, size: int = 1200, overlap: int = 150, buckets: int = BUCKETS) -> StreamingQuery:
     """Chunk the pages that have come since the last run; a page's chunks replace those that it had.
 
-    Pages lie in ``BUCKETS`` folders by their id. A batch rewrites only the folders
-    of its pages, from all Bronze revisions of these (so themes of earlier batches
-    are merged), and a batch that is replayed writes the same again.
+    Pages and chunks lie in ``buckets`` folders by the page's id, the pages in
+    ``{gold}-pages``, in a folder for each batch. A batch adds its pages and makes
+    the chunks of its buckets anew, from all revisions there (so themes of earlier
+    batches are merged); pages of other buckets aren't read. A bucket that is left
+    without chunks, as when its only page becomes a redirect, loses its folder. A
+    batch that is replayed writes the same again.
     """
-    bucket = lambda: F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int")
+    pages, jvm = f"{gold}-pages", spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    fs = jvm.Path(gold).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
 
     def write(batch: DataFrame, epoch: int) -> None:
-        touched = batch.select(bucket().alias("bucket")).distinct()
-        known = spark.read.schema(S.BRONZE).option("recursiveFileLookup", "true").parquet(bronze).where("page_id is not null").withColumn("bucket", bucket())
-        pages = known.unionByName(batch.where("page_id is not null").withColumn("bucket", bucket())).join(F.broadcast(touched), "bucket", "left_semi")
-        chunks = corpus.build_gold(corpus.build_silver(pages.drop("bucket").distinct()), size, overlap)
-        chunks.withColumn("bucket", bucket()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(gold)
+        new = batch.where("page_id is not null").withColumn("bucket", bucket).withColumn("epoch", F.lit(epoch))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(pages)
+        if not fs.exists(jvm.Path(pages)):
+            return
+        known = spark.read.schema(f"{S.BRONZE}, bucket int, epoch long").parquet(pages)
+        touched = sorted(r["bucket"] for r in known.where(F.col("epoch") == epoch).select("bucket").distinct().collect())  # as many as there are buckets
+        if not touched:
+            return
+        rows = known.where(F.col("bucket").isin(touched) & (F.col("epoch") <= epoch)).drop("bucket", "epoch").distinct()
+        chunks = corpus.build_gold(corpus.build_silver(rows), size, overlap).withColumn("bucket", bucket)
+        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(gold)
+        left = {r["bucket"] for r in chunks.select("bucket").distinct().collect()}
+        for b in set(touched) - left:
+            fs.delete(jvm.Path(f"{gold}/bucket={b}"), True)
 
     return stream_bronze(spark, bronze).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
