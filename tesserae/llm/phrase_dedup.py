@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,24 +33,16 @@ OWN = LENGTH - PHRASE + 1  # phrases of a window
 #: Hashes of repeated phrases that are few enough to go to every worker (32 MB); beyond, phrases join them by a shuffle.
 FEW = 4_000_000
 #: Bytes of text that one automaton should serve.
-SHARD = 24 << 20
-#: Words held at once, and remembered hashes of words.
-WORDS, REMEMBERED = 400_000, 1_000_000
+SHARD = 16 << 20
+#: Bytes of text held at once, but for a longer text, and bytes of words hashed at once, but for a longer word.
+LOT, STEP = 2 << 20, 1 << 20
+#: Windows and phrases that a task puts together by shard.
+TOGETHER = 1_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MOST = np.uint64(2**64 - 1)
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _M1
     x += b
@@ -79,13 +70,40 @@ def _over(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return x if k == width else f(x[: -(width - k)], x[width - k :])
 
 
+_LETTER = np.ones(256, bool)
+_LETTER[list(b" \t\n\x0b\x0c\r")] = False
+
+
+def _hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, from sums of their bytes times powers of an odd number; they tell words apart, whatever lies between them."""
+    out, powers = np.empty(len(starts), np.uint64), np.empty(0, np.uint64)
+    size = np.cumsum(ends - starts)
+    lo = 0
+    while lo < len(starts):
+        done = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, done + STEP, "right")))
+        part, length = flat[starts[lo] : ends[hi - 1]], ends[lo:hi] - starts[lo:hi]
+        if length.max() > len(powers):
+            powers = np.cumprod(np.full(int(length.max()), _M2))
+        first = np.cumsum(length) - length
+        letters = part[_LETTER[part]].astype(np.uint64)
+        letters *= powers[np.arange(len(letters)) - np.repeat(first, length)]
+        out[lo:hi] = _joined(np.add.reduceat(letters, first), length.astype(np.uint64))
+        lo = hi
+    return out
+
+
 class Words:
     """The words of some texts, one text after another, and hashes of what they hold."""
 
-    def __init__(self, texts: list[list[bytes]], hashes: _Hashes) -> None:
-        self.ends = np.cumsum([len(t) for t in texts])
-        total = int(self.ends[-1]) if texts else 0
-        self.hash = np.fromiter((hashes[w] for t in texts for w in t), np.uint64, total)
+    def __init__(self, texts: list[bytes]) -> None:
+        flat = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        edges = np.diff(_LETTER[flat].astype(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        after = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        self.lengths = np.diff(after, prepend=0)
+        self.ends = after
+        self.hash = _hashes(flat, starts, ends)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Of the place of each word: whether a window starts there, and the phrase it owns."""
@@ -107,24 +125,26 @@ class Words:
     def digests(self) -> np.ndarray:
         return _runs(self.hash, LENGTH)
 
+    def symbols(self) -> np.ndarray:
+        """Two letters a word, of 64 even and 64 odd ones: nodes of an automaton have few children, and no match starts within a word."""
+        low = self.hash.astype(np.uint16)
+        out = np.empty(2 * len(low), np.uint8)
+        out[0::2] = 32 + (low & 63)
+        out[1::2] = 96 + (low >> 6 & 63)
+        return out
+
 
-def _batches(batches: Iterator[pa.RecordBatch], hashes: _Hashes, *columns: str) -> Iterator[tuple[Words, list[int], list[list[bytes]], list[list]]]:
-    """Texts in lots of about ``WORDS`` words: their words, lengths, lists of words, and the other columns."""
+def _lots(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[Words, list[bytes], list[list]]]:
+    """Texts in lots of about ``LOT`` bytes: their words, their bytes, and the other columns."""
     for batch in slices(batches, 256):
-        lot: list[list[bytes]] = []
-        held: list[list] = [[] for _ in columns]
-        size = 0
         values = [batch.column(c).to_pylist() for c in columns]
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            lot.append(text.encode("utf-8", "surrogatepass").split())
-            for own, v in zip(held, values, strict=True):
-                own.append(v[i])
-            size += len(lot[-1])
-            if size >= WORDS:
-                yield Words(lot, hashes), [len(t) for t in lot], lot, held
-                lot, held, size = [], [[] for _ in columns], 0
-        if lot:
-            yield Words(lot, hashes), [len(t) for t in lot], lot, held
+        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        lo = size = 0
+        for hi, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= LOT or hi == len(texts):
+                yield Words(texts[lo:hi]), texts[lo:hi], [v[lo:hi] for v in values]
+                lo, size = hi, 0
 
 
 def _distinct(docs: DataFrame) -> DataFrame:
@@ -137,9 +157,9 @@ def repeated_phrases(texts: DataFrame) -> DataFrame:
     """``h``: hashes of phrases that windows own at more than one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lengths, _, (copies,) in _batches(batches, _Hashes(), "n"):
+        for words, _, (copies,) in _lots(batches, "n"):
             at = words.least(*words.windows()) if len(words.hash) >= LENGTH else np.empty(0, np.int64)
-            n = np.repeat(np.array(copies, np.int64), lengths)[at]
+            n = np.repeat(np.array(copies, np.int64), words.lengths)[at]
             yield pa.RecordBatch.from_arrays([pa.array(words.phrase[at].view(np.int64) if len(at) else [], pa.int64()), pa.array(n)], ["h", "n"])
 
     return texts.select("text", "n").mapInArrow(run, schema("h long, n long")).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
@@ -152,16 +172,16 @@ def _owned(texts: DataFrame, repeated: DataFrame, few: int) -> DataFrame:
     """Windows that own a repeated phrase (``h, d, shard, n``) and, with ``d`` null, the words of these phrases."""
     fields = ["h", "d", "shard", "n", "phrase"]
 
-    def told(words: Words, known: np.ndarray, lengths: list[int], shards: list[int], copies: list[int]) -> pa.RecordBatch:
+    def told(words: Words, known: np.ndarray, shards: list[int], copies: list[int]) -> pa.RecordBatch:
         inside, owned = words.windows()
         place = np.minimum(np.searchsorted(known, owned), len(known) - 1)
         at = np.flatnonzero(inside & (known[place] == owned))
-        shard, n = np.repeat(np.array(shards, np.int32), lengths), np.repeat(np.array(copies, np.int64), lengths)
+        shard, n = (np.repeat(np.array(v, t), words.lengths) for v, t in ((shards, np.int32), (copies, np.int64)))
         found = np.intersect1d(words.least(inside, owned), np.flatnonzero(np.isin(words.phrase, owned[at])))
-        symbols = words.hash.astype(np.uint32)
+        symbols = words.symbols()
         _, first = np.unique(np.stack([words.phrase[found].view(np.int64), shard[found].astype(np.int64)], 1), axis=0, return_index=True)
         found = found[first]
-        phrases = [symbols[p : p + PHRASE].tobytes() for p in found.tolist()]
+        phrases = [symbols[2 * p : 2 * (p + PHRASE)].tobytes() for p in found.tolist()]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([owned[at], words.phrase[found]]).view(np.int64)),
@@ -179,40 +199,37 @@ def _owned(texts: DataFrame, repeated: DataFrame, few: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = shared.value
-            for words, lengths, _, (shards, copies) in _batches(batches, _Hashes(), "shard", "n"):
+            for words, _, (shards, copies) in _lots(batches, "shard", "n"):
                 if len(known) and len(words.hash) >= LENGTH:
-                    yield told(words, known, lengths, shards, copies)
+                    yield told(words, known, shards, copies)
 
         return texts.select("text", "shard", "n").mapInArrow(run, schema(_FOUND))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lengths, _, (keys,) in _batches(batches, _Hashes(), "key"):
+        for words, _, (keys,) in _lots(batches, "key"):
             at = words.least(*words.windows()) if len(words.hash) >= LENGTH else np.empty(0, np.int64)
-            of = np.repeat(np.arange(len(keys)), lengths)[at]
+            of = np.repeat(np.arange(len(keys)), words.lengths)[at]
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in of.tolist()], pa.binary()), pa.array(words.phrase[at].view(np.int64) if len(at) else [], pa.int64())], ["key", "h"])
 
     own = texts.select("text", "key").mapInArrow(places, schema("key binary, h long")).distinct().join(repeated, "h").groupBy("key").agg(F.collect_list("h").alias("known"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, lengths, _, (shards, copies, known) in _batches(batches, _Hashes(), "shard", "n", "known"):
+        for words, _, (shards, copies, known) in _lots(batches, "shard", "n", "known"):
             if len(words.hash) >= LENGTH:
-                yield told(words, np.unique(np.concatenate([np.array(x, np.int64) for x in known]).view(np.uint64)), lengths, shards, copies)
+                yield told(words, np.unique(np.concatenate([np.array(x, np.int64) for x in known]).view(np.uint64)), shards, copies)
 
     return texts.join(own, "key").select("text", "shard", "n", "known").mapInArrow(each, schema(_FOUND))
 
 
 class Automaton:
-    """Phrases of a shard and the confirmed windows that own them."""
-
-    def __init__(self, rows: list[tuple[int, int | None, bytes | None]]) -> None:
-        windows = np.array([(d, h) for h, d, _ in rows if d is not None], np.int64).reshape(-1, 2).view(np.uint64)
-        windows = windows[np.argsort(windows[:, 0], kind="stable")]
-        self.digest, self.owner = np.ascontiguousarray(windows[:, 0]), np.ascontiguousarray(windows[:, 1])
-        wanted = set(self.owner.tolist())
-        self.find = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for h, d, phrase in rows:
-            if d is None and h & 0xFFFFFFFFFFFFFFFF in wanted:
-                self.find.add_word(tuple(np.frombuffer(phrase, np.uint32).tolist()))
+    """Phrases of a shard (hash and words) and the confirmed windows (phrase that they own, digest) of its texts."""
+
+    def __init__(self, phrases: np.ndarray, windows: np.ndarray) -> None:
+        windows = windows[np.argsort(windows["d"], kind="stable")]
+        self.digest, self.owner = np.ascontiguousarray(windows["d"]), np.ascontiguousarray(windows["h"])
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for phrase in phrases["words"][np.isin(phrases["h"], self.owner)].tolist():
+            self.find.add_word(phrase.decode("latin-1"))
         self.find.make_automaton()
 
     def covered(self, words: Words) -> np.ndarray:
@@ -220,14 +237,14 @@ class Automaton:
         out = np.zeros(len(words.hash) + 1, np.int64)
         if not len(self.find) or len(words.hash) < LENGTH:
             return out[:-1] > 0
-        ends = np.array([end for end, _ in self.find.iter(tuple(words.hash.astype(np.uint32).tolist()))], np.int64)
+        ends = np.fromiter((end for end, _ in self.find.iter(words.symbols().tobytes().decode("latin-1"))), np.int64) // 2
         if not len(ends):
             return out[:-1] > 0
         inside, owned = words.windows()
         near = np.zeros(len(inside) + 1, np.int64)  # windows that hold an occurrence
         start = ends - PHRASE + 1
-        np.add.at(near, np.clip(start - OWN + 1, 0, len(inside)), 1)
-        np.add.at(near, np.clip(start + 1, 0, len(inside)), -1)
+        near += np.bincount(np.clip(start - OWN + 1, 0, len(inside)), minlength=len(near))
+        near -= np.bincount(np.clip(start + 1, 0, len(inside)), minlength=len(near))
         at = np.flatnonzero(inside & (np.cumsum(near[:-1]) > 0))
         d = words.digests()[at]
         place = np.minimum(np.searchsorted(self.digest, d), len(self.digest) - 1)
@@ -237,30 +254,72 @@ class Automaton:
         return np.cumsum(out[:-1]) > 0
 
 
+def left(text: bytes, spans: list[dict]) -> bytes:
+    """Words outside the spans, joined by one space."""
+    words, out, at = text.split(), [], 0
+    for s in spans:
+        out += words[at : s["lo"]]
+        at = s["hi"]
+    return b" ".join(out + words[at:])
+
+
 _RESULT = "key binary, n_words long, n_removed long, spans array<struct<lo:long,hi:long>>, kept_sha256 string"
 
 
+_WINDOW = np.dtype([("h", np.uint64), ("d", np.uint64)])
+_OF_PHRASE = np.dtype([("h", np.uint64), ("words", f"S{2 * PHRASE}")])
+
+
+def _packed(confirmed: DataFrame) -> DataFrame:
+    """``shard, windows, phrases``: what a task has for a shard, put together."""
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        table = table.sort_by("shard")
+        shard = table.column("shard").to_numpy()
+        phrased = table.column("d").is_null().to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        h, d = table.column("h").to_numpy().view(np.uint64), table.column("d").fill_null(0).to_numpy().view(np.uint64)
+        windows = np.empty(len(h), _WINDOW)
+        windows["h"], windows["d"] = h, d
+        phrases = np.zeros(len(h), _OF_PHRASE)
+        phrases["h"][phrased] = h[phrased]
+        phrases["words"][phrased] = np.frombuffer(b"".join(table.column("phrase").filter(table.column("d").is_null()).to_pylist()), f"S{2 * PHRASE}")
+        rows = [(int(shard[lo]), windows[lo:hi][~phrased[lo:hi]].tobytes(), phrases[lo:hi][phrased[lo:hi]].tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "windows", "phrases"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                yield told(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield told(pa.Table.from_batches(held))
+
+    return confirmed.select("shard", "h", "d", "phrase").mapInArrow(run, schema("shard int, windows binary, phrases binary"))
+
+
 def _located(texts: DataFrame, confirmed: DataFrame, shards: int) -> DataFrame:
     """Each text's words, removed spans and digest: shard ``i`` is task ``i``, phrases come before texts."""
-    phrases = confirmed.select("shard", F.lit(0).alias("kind"), "h", "d", "phrase", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("string").alias("text"))
-    rows = texts.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("binary").alias("phrase"), "key", "text")
+    phrases = _packed(confirmed).select("shard", F.lit(0).alias("kind"), "windows", "phrases", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("string").alias("text"))
+    rows = texts.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("windows"), F.lit(None).cast("binary").alias("phrases"), "key", "text")
 
-    def result(automaton: Automaton, batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[pa.RecordBatch]:
-        for words, lengths, lists, (keys,) in _batches(iter([batch]), hashes, "key"):
+    def result(automaton: Automaton, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for words, texts, (keys,) in _lots(iter([batch]), "key"):
             gone, out, at = automaton.covered(words), [], 0
-            for n, own in zip(lengths, lists, strict=True):
+            for n, text in zip(words.lengths.tolist(), texts, strict=True):
                 mine = gone[at : at + n]
                 at += n
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
+                edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=np.int8(0), append=np.int8(0))) if mine.any() else np.empty(0, np.int64)
                 spans = [{"lo": lo, "hi": hi} for lo, hi in edges.reshape(-1, 2).tolist()]
-                kept = b" ".join([w for w, x in zip(own, mine.tolist(), strict=True) if not x] if spans else own)
-                out.append((n, int(mine.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                out.append((n, int(mine.sum()), spans, hashlib.sha256(left(text, spans)).hexdigest()))
             cols = list(zip(*out, strict=True))
             types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["key", "n_words", "n_removed", "spans", "kept_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, automaton, hashes = None, [], None, _Hashes()
+        shard, held, automaton = None, [], None
         for batch in batches:
             at, of, kinds = 0, batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
             cuts = [*(np.flatnonzero((np.diff(of) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
@@ -269,11 +328,12 @@ def _located(texts: DataFrame, confirmed: DataFrame, shards: int) -> DataFrame:
                 if of[at] != shard:
                     shard, held, automaton = of[at], [], None
                 if kinds[at] == 0:
-                    held += zip(*(part.column(c).to_pylist() for c in ("h", "d", "phrase")), strict=True)
+                    held += zip(part.column("windows").to_pylist(), part.column("phrases").to_pylist(), strict=True)
                 else:
                     if automaton is None:
-                        automaton, held = Automaton(held), []
-                    yield from result(automaton, part.select(["key", "text"]), hashes)
+                        windows, phrases = (b"".join(x) for x in zip(*held, strict=True)) if held else (b"", b"")
+                        automaton, held = Automaton(np.frombuffer(phrases, _OF_PHRASE), np.frombuffer(windows, _WINDOW)), []
+                    yield from result(automaton, part.select(["key", "text"]))
                 at = end
 
     return phrases.union(rows).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInArrow(run, schema(_RESULT))
@@ -312,13 +372,7 @@ def kept_texts(docs: DataFrame, few: int = FEW, shard: int = SHARD) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words, left, at = text.encode("utf-8", "surrogatepass").split(), [], 0
-                for s in spans:
-                    left += words[at : s["lo"]]
-                    at = s["hi"]
-                out.append(b" ".join(left + words[at:]).decode("utf-8", "surrogatepass"))
+            out = [left(t.encode("utf-8", "surrogatepass"), s).decode("utf-8", "surrogatepass") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return rows.mapInArrow(run, schema("doc_id long, text string"))

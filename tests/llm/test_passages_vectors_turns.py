@@ -55,17 +55,15 @@ def test_phrase_dedup(spark, passages, few, shard):
             assert sum(s["hi"] - s["lo"] for s in r["spans"]) == r["n_removed"]
 
 
-def test_phrase_dedup_lots_and_memory(spark, passages, monkeypatch):
-    """Small lots of words, forgotten hashes of words: the same result."""
-    monkeypatch.setattr(phrase_dedup, "WORDS", 50)
-    monkeypatch.setattr(phrase_dedup, "REMEMBERED", 7)
-    rows = [r for r in passages if r[0] != 304]
-    texts = [t for _, t in rows if t]
-    hashes = phrase_dedup._Hashes()
-    lots = phrase_dedup.Words([t.encode().split() for t in texts], hashes)
-    alone = [phrase_dedup.Words([t.encode().split()], phrase_dedup._Hashes()).hash for t in texts]
-    assert np.array_equal(lots.hash, np.concatenate(alone)) and len(hashes) <= 7
-    assert sorted((tuple(r)[:4] for r in phrase_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == removed(rows)
+def test_phrase_dedup_in_small_lots(spark, passages, monkeypatch):
+    """However texts are put together and words hashed, the hashes are the same."""
+    texts = [t.encode() for _, t in passages if t]
+    whole = phrase_dedup.Words(texts)
+    assert whole.lengths.tolist() == [len(t.split()) for t in texts]
+    monkeypatch.setattr(phrase_dedup, "STEP", 9)
+    assert np.array_equal(whole.hash, np.concatenate([phrase_dedup.Words([t]).hash for t in texts]))
+    spelled = {w for t in texts for w in t.split()}
+    assert len(np.unique(whole.hash)) == len(spelled) and len(phrase_dedup.Words([]).hash) == 0
 
 
 def test_phrase_dedup_of_nothing(spark):
