@@ -160,6 +160,25 @@ def _judged(score: Callable[[Column], Column], parts: Column) -> Column:
     return F.transform(F.transform(places, seen), lambda s: F.struct(s["place"].alias("place"), s["value"].alias("value"), score(s["f"]).alias("score")))
 
 
+#: Parts whose lengths are summed one by one; beyond, by blocks of so many.
+BLOCK = 128
+
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+
+
+def _bases(lengths: Column) -> Column:
+    """Where each block of parts begins."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.array_append(a, F.element_at(a, -1) + _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)))))
+
+
+def _start(lengths: Column, bases: Column, place: Column) -> Column:
+    block = F.floor(place / BLOCK).cast("int")
+    return F.element_at(bases, block + 1) + _sum(F.slice(lengths, block * BLOCK + 1, place % BLOCK))
+
+
 def _score(docs: DataFrame, findings: DataFrame | None) -> Callable[[Column], Column]:
     return train(findings if findings is not None else labelled_findings(docs.sparkSession))
 
@@ -173,12 +192,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     aren't read. ``findings`` replaces the made-up labelled findings.
     """
     rows = pick(docs, doc_id="long", text="string").select("doc_id", _parts(F.col("text")).alias("parts")).where(F.size("parts") > 1)
-    starts = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(_plain(p))))
-    rows = rows.select("doc_id", _judged(_score(docs, findings), F.col("parts")).alias("found"), starts.alias("starts"))
-    rows = rows.select("doc_id", "starts", F.explode("found").alias("x"))
-    start = F.element_at("starts", F.col("x.place") + 1)
+    rows = rows.withColumn("lengths", F.transform("parts", lambda p: F.length(_plain(p)))).withColumn("bases", _bases(F.col("lengths")))
+    rows = rows.select("doc_id", "lengths", "bases", _judged(_score(docs, findings), F.col("parts")).alias("found"))
+    placed = F.transform("found", lambda x: F.struct(x.alias("x"), _start(F.col("lengths"), F.col("bases"), x["place"]).alias("start")))
+    # an inner explode would have the optimizer cut the text again for each candidate, to see which rows have any
+    rows = rows.select("doc_id", F.explode_outer(placed).alias("y")).where("y is not null").select("doc_id", "y.*")
     return rows.select(
-        "doc_id", start.cast("long").alias("start"), F.length("x.value").cast("long").alias("n_chars"), F.substring("x.value", 1, 4).alias("shown"),
+        "doc_id", F.col("start").cast("long").alias("start"), F.length("x.value").cast("long").alias("n_chars"), F.substring("x.value", 1, 4).alias("shown"),
         F.sha2("x.value", 256).alias("value_sha256"), F.col("x.score").alias("score"), (F.col("x.score") >= threshold).alias("is_secret"),
     )
 
