@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import mixing, near_dedup, packing, quality, secret_scan
-from tesserae.llm._shared import checkpoint, fresh
+from tesserae.llm._shared import WORD, checkpoint, fresh
 
 #: Rejected rows that are few enough to be sent to every task; beyond, the join shuffles.
 FEW = 500_000
@@ -36,14 +36,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least ``doc_id``; of rows that repeat it and its text, one.
+    """One document of each group of near copies, the one with the least ``doc_id``; of rows that repeat it and its text, the least by all columns.
 
-    Null and empty texts are in no group and stay; an empty table stays empty.
+    Texts without words are in no group and stay, each of them; an empty table stays empty.
     """
     found = checkpoint(near_dedup.classes(docs).select("doc_id", "text_hash", "kept"))
     kept = _without(docs, found, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    repeated = not found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    if found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    worded, row = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False)), fresh("__row", docs.columns)
+    one = kept.where(worded).groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return one.select(f"{row}.*").unionByName(kept.where(~worded))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
