@@ -243,10 +243,19 @@ def ledger_daily(ledger: DataFrame) -> DataFrame:
 
 
 def admitted(ledger: DataFrame, ceiling: float) -> DataFrame:
-    """Whether each call would have been let through: what the day had cost before it is under the ceiling (0 or less: off)."""
-    w = W.partitionBy(F.to_date("at")).orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1)
-    spent = F.round(F.coalesce(F.sum("dollars").over(w), F.lit(0.0)), 6)
-    return ledger.withColumn("spent_before", spent).withColumn("admitted", F.lit(ceiling <= 0) | (F.col("spent_before") < ceiling))
+    """Whether each call would have been let through: what the day had cost before it is under the ceiling (0 or less: off).
+
+    Minutes are summed where calls lie, a day's 1,440 sums at most are accumulated,
+    and calls are accumulated within their minute, so a busy day is many tasks' work.
+    Calls without a time are a day of their own.
+    """
+    rows = ledger.withColumn("__minute", F.date_trunc("minute", "at"))
+    w = W.partitionBy(F.to_date("__m")).orderBy("__m").rowsBetween(W.unboundedPreceding, -1)
+    minutes = rows.groupBy(F.col("__minute").alias("__m")).agg(F.sum("dollars").alias("__sum")).select("__m", F.coalesce(F.sum("__sum").over(w), F.lit(0.0)).alias("__before"))
+    inner = W.partitionBy("__minute").orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__own", F.coalesce(F.sum("dollars").over(inner), F.lit(0.0))).join(minutes, F.col("__minute").eqNullSafe(F.col("__m")), "left")
+    rows = rows.withColumn("spent_before", F.round(F.col("__before") + F.col("__own"), 6)).drop("__minute", "__m", "__before", "__own")
+    return rows.withColumn("admitted", F.lit(ceiling <= 0) | (F.col("spent_before") < ceiling))
 
 
 def faithfulness(claims: DataFrame) -> DataFrame:
