@@ -140,7 +140,7 @@ def main(argv: list[str] | None = None, embedder: seams.Embedder = seams.Hashing
         tables.write_csv(got.where("page_id is null").select("theme", F.col("requested_title").alias("title"), "fetched_at"), args.bronze.rstrip("/") + ".missing")
         print(corpus.report([("fetched", got.where("page_id is not null").count()), ("missing", got.where("page_id is null").count())]))
     elif args.command == "silver":
-        tables.overwrite(corpus.build_silver(tables.scan_bronze(spark, args.bronze)), args.out)
+        print(corpus.report(corpus.write_silver(tables.scan_bronze(spark, args.bronze), args.out).items()))
     elif args.command == "chunk":
         tables.overwrite(corpus.build_gold(tables.read_documents(spark, args.silver), args.size, args.overlap), args.out)
     elif args.command == "index":

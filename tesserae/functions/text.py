@@ -217,3 +217,8 @@ def question_id(chunk_id: Column) -> Column:
 
 def source_label(title: Column, heading: Column) -> Column:
     return F.when(F.coalesce(heading, F.lit("")) != "", F.concat(title, F.lit(" — "), heading)).otherwise(title)
+
+
+def revision_url(revision_id: Column, wiki: str = "https://en.wikipedia.org") -> Column:
+    """The lasting link to the revision that a text came from, which later edits don't change."""
+    return F.concat(F.lit(f"{wiki}/w/index.php?oldid="), revision_id.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +32,28 @@ def curate(links: DataFrame, seeds: DataFrame, least: int = MIN_SEEDS) -> DataFr
     return ranked.unionByName(own).withColumn("ordinal", F.row_number().over(w))
 
 
+def missing_seeds(seeds: DataFrame, pages: DataFrame) -> DataFrame:
+    """``theme, seed`` of seeds for which there is no page (``theme, seed, wikitext``, null if it wasn't found)."""
+    return seeds.select("theme", "seed").distinct().join(pages.where("wikitext is not null").select("theme", "seed"), ["theme", "seed"], "left_anti")
+
+
+def curate_pages(pages: DataFrame, seeds: DataFrame, least: int = MIN_SEEDS) -> DataFrame:
+    """``curate`` from the pages of the seeds; a seed without a page is an error, as it is a slip of a person's hand."""
+    if lost := missing_seeds(seeds, pages).orderBy("theme", "seed").limit(20).collect():
+        raise ValueError("seeds without a page: " + ", ".join(f"{r['theme']}: {r['seed']}" for r in lost))
+    return curate(seed_links(pages), seeds, least)
+
+
+def theme_violations(themes: DataFrame) -> DataFrame:
+    """Themes (``slug, name, seeds``) that break a rule, with its name: a slug in lower case that can be a folder and is nobody else's, a seed at least."""
+    n = themes.groupBy("slug").agg(F.count("*").alias("__n"))
+    rows = themes.join(n, themes["slug"].eqNullSafe(n["slug"])).drop(n["slug"])
+    rules = F.array(
+        F.when(~F.coalesce(F.col("slug").rlike(r"^[a-z0-9-]+\z"), F.lit(False)), F.lit("slug")), F.when(F.coalesce(F.size("seeds"), F.lit(0)) < 1, F.lit("seeds")), F.when(F.col("__n") > 1, F.lit("slug not unique")),
+    )
+    return rows.withColumn("rule", F.explode(F.array_compact(rules))).drop("__n")
+
+
 def seed_links(pages: DataFrame) -> DataFrame:
     """``theme, seed, title`` from seed pages ``theme, seed, wikitext``."""
     return pages.select("theme", "seed", F.explode(wiki_links(F.col("wikitext"))).alias("title"))
@@ -81,9 +103,12 @@ def articles(bronze: DataFrame) -> DataFrame:
     return rows.select("page_id", "themes", "r.*")
 
 
-def build_silver(bronze: DataFrame, least: int = MIN_SECTION) -> DataFrame:
-    """Sections of articles that have content, with their article's infobox, categories and provenance."""
-    rows = articles(bronze).where(~is_non_content(F.col("title"), F.col("wikitext"))).withColumn("categories", wiki_categories(F.col("wikitext")))
+def build_silver(bronze: DataFrame, least: int = MIN_SECTION, seen: Observation | None = None) -> DataFrame:
+    """Sections of articles that have content, with their article's infobox, categories and provenance; ``seen`` counts pages and those skipped as they pass."""
+    rows = articles(bronze).withColumn("__skip", is_non_content(F.col("title"), F.col("wikitext")))
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("pages"), F.count_if("__skip").alias("skipped"))
+    rows = rows.where(~F.col("__skip")).drop("__skip").withColumn("categories", wiki_categories(F.col("wikitext")))
     rows = parsed(rows, least).select("*", F.explode("parsed.sections").alias("s"))
     return rows.select(
         F.concat_ws(":", F.col("page_id").cast("string"), F.col("s.position").cast("string")).alias("doc_id"), "page_id", "s.position", "title", "s.heading", "s.text",
@@ -144,3 +169,23 @@ def has_all(index: DataFrame, keys: DataFrame, key: str = "chunk_id") -> bool:
 
 def report(rows: Iterator[tuple[str, int]]) -> str:
     return ", ".join(f"{name} {n:,}" for name, n in rows)
+
+
+def counted_write(rows: DataFrame, root: str, **counts: Column) -> dict[str, int]:
+    """Write a table and count on the way, in one job; ``counts`` are aggregates beside the number of rows. Tasks that are run again count once."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in counts.items())).write.mode("overwrite").parquet(root)
+    return seen.get
+
+
+def write_silver(bronze: DataFrame, root: str, least: int = MIN_SECTION) -> dict[str, int]:
+    """Write Silver and tell ``articles`` (pages with content), ``skipped`` pages and ``rows``, all from the job that writes."""
+    seen = Observation()
+    rows = counted_write(build_silver(bronze, least, seen), root)["rows"]
+    pages = seen.get
+    return {"articles": pages["pages"] - pages["skipped"], "skipped": pages["skipped"], "rows": rows}
+
+
+def write_index(gold: DataFrame, embedder: Embedder, root: str, batch: int = 200) -> dict[str, int]:
+    """Write the whole index and tell ``rows``, ``dated`` chunks and the ``terms`` of their weights."""
+    return counted_write(build_index(gold, embedder, batch=batch), root, dated=F.count("year_start"), terms=F.coalesce(F.sum(F.size("sparse")), F.lit(0)))

@@ -314,3 +314,21 @@ def question_violations(questions: DataFrame) -> DataFrame:
         F.when(F.exists(F.coalesce("expected", F.array().cast("array<string>")), lambda d: ~d.rlike(r"^\d+:\d+$")), F.lit("document id")),
     )
     return questions.withColumn("rule", F.explode(F.array_compact(rules))).drop("__n")
+
+
+def question_counts(questions: DataFrame) -> DataFrame:
+    """``suite, kind, questions``: of each suite and kind, of each suite (``kind`` "all") and of all."""
+    rows = questions.groupingSets([["suite", "kind"], ["suite"], []], "suite", "kind").agg(F.count("*").alias("questions"), F.grouping("suite").alias("__s"), F.grouping("kind").alias("__k"))
+    every = lambda c, g: F.when(F.col(g) == 1, "all").otherwise(F.col(c)).alias(c)
+    return rows.select(every("suite", "__s"), every("kind", "__k"), "questions")
+
+
+def probe_table(verdicts: DataFrame) -> DataFrame:
+    """``probe, cases, passed, right, unread, complete`` from a judge's verdicts: ``probe, expect, got`` (null: not read).
+
+    A probe passes if every verdict is as expected and both kinds were expected of it:
+    a judge that always says the same would pass half a probe.
+    """
+    right = F.coalesce(F.col("got") == F.col("expect"), F.lit(False))
+    rows = verdicts.groupBy("probe").agg(F.count("*").alias("cases"), F.count_if(right).alias("right"), F.count_if(F.col("got").isNull()).alias("unread"), (F.count_if("expect") * F.count_if(~F.col("expect")) > 0).alias("complete"))
+    return rows.select("probe", "cases", (F.col("complete") & (F.col("right") == F.col("cases"))).alias("passed"), "right", "unread", "complete")

@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
+from tesserae.operators.spending import Meter
+
 IDLE, RUNNING, DONE, FAILED, CANCELLED = "idle", "running", "done", "failed", "cancelled"
 
 
@@ -25,6 +27,7 @@ class Status:
     finished_at: str = ""
     result: str = ""
     error: str = ""
+    calls: int = 0
 
 
 class Job:
@@ -34,10 +37,16 @@ class Job:
         self._spark, self._lock, self._status = spark, threading.Lock(), Status()
         self._cancelled = threading.Event()
         self._thread: threading.Thread | None = None
+        self._meter: Meter | None = None
 
     def status(self) -> Status:
         with self._lock:
-            return self._status
+            return replace(self._status, calls=self._meter.calls if self._meter else 0)
+
+    def watch(self, meter: Meter) -> None:
+        """Tell the calls that tasks have reported to ``meter`` in the status, while they go on."""
+        with self._lock:
+            self._meter = meter
 
     def start(self, run_id: str, total: int, work: Callable[[Job], str]) -> bool:
         """Run ``work(self)``, which returns where its result is; False if a run is under way. Whatever happens, the run ends in a last state."""
@@ -45,6 +54,7 @@ class Job:
             if self._status.state == RUNNING:
                 return False
             self._cancelled.clear()
+            self._meter = None
             self._status = Status(RUNNING, run_id, total=total, started_at=_now())
         self._thread = InheritableThread(target=self._run, args=(f"run-{run_id}", work), daemon=True)
         self._thread.start()

@@ -186,3 +186,24 @@ def q_registry_violations(spark: SparkSession, d: str) -> DataFrame:
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{00a0}\x{1680}\x{2000}-\x{200b}\x{202f}\x{205f}\x{3000}]', ' ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
 def q_whitespace(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.whitespace(F.col("text")).alias("text"))
+
+
+@query(f"WITH {HREFS} SELECT DISTINCT theme, seed FROM l WHERE seed % 3 = 0")
+def q_missing_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds whose page isn't there: every third page is taken away."""
+    seeds = hrefs(spark, d).select("theme", "seed")
+    return corpus.missing_seeds(seeds, seeds.where("seed % 3 <> 0").withColumn("wikitext", F.lit("")))
+
+
+@query(r"""WITH t AS (SELECT CASE WHEN doc_id % 4 = 0 THEN lang || '-' || source WHEN doc_id % 4 = 1 THEN 'Theme ' || doc_id ELSE 'd-' || doc_id END AS slug, doc_id, doc_id % 3 AS n FROM documents), u AS (SELECT *, count(*) OVER (PARTITION BY slug) AS c FROM t)
+SELECT doc_id, rule FROM (SELECT doc_id, unnest(list_filter([CASE WHEN NOT coalesce(regexp_full_match(slug, '[a-z0-9-]+'), false) THEN 'slug' END, CASE WHEN n < 1 THEN 'seeds' END, CASE WHEN c > 1 THEN 'slug not unique' END], lambda x: x IS NOT NULL)) AS rule FROM u)""")
+def q_theme_violations(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id")
+    slug = F.when(n % 4 == 0, F.concat("lang", F.lit("-"), "source")).when(n % 4 == 1, F.concat(F.lit("Theme "), n.cast("string"))).otherwise(F.concat(F.lit("d-"), n.cast("string")))
+    rows = table(spark, d, "documents").select("doc_id", slug.alias("slug"), F.lit("name").alias("name"), F.expr("array_repeat('s', cast(doc_id % 3 as int))").alias("seeds"))
+    return corpus.theme_violations(rows).select("doc_id", "rule")
+
+
+@query("SELECT doc_id, 'https://en.wikipedia.org/w/index.php?oldid=' || doc_id AS url FROM documents")
+def q_revision_url(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.revision_url(F.col("doc_id")).alias("url"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.operators import answers
+from tesserae.operators import answers, runs, spending
 from tesserae.operators import evaluation as E
 from tesserae.operators import retrieval as R
 from tesserae.plans.catalogue import inline, query, values
 from tesserae.plans.catalogue_retrieval import BM25, VEC, docs, questions, vector_questions, vectors
 from tesserae.session import sent, table
+from tesserae.sources import seams
 
 
 @query("SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -252,3 +253,44 @@ def q_question_violations(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("n") % 5 == 0, "conversation").otherwise("golden").alias("suite"), F.expr("cast(array() as array<struct<user:string,assistant:string>>)").alias("history"),
     )
     return E.question_violations(rows).select("id", "rule")
+
+
+@query("""WITH asked AS (SELECT event_id AS id, user_id AS m, ts FROM events WHERE event_id % 3 <> 0), runs AS (SELECT user_id AS m, ts, max(event_id) AS run_id FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
+SELECT a.id, r.run_id FROM asked a ASOF LEFT JOIN runs r ON a.m = r.m AND a.ts > r.ts""")
+def q_runs_before(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event is a run of its user's, the others ask for the newest run before them."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("generation_model"), F.col("ts").alias("at"))
+    return runs.runs_before(e.where("id % 3 <> 0"), e.where("id % 3 = 0").withColumnRenamed("id", "run_id")).select("id", "run_id")
+
+
+@query("SELECT CASE WHEN grouping(s) = 1 THEN 'all' ELSE s END AS suite, CASE WHEN grouping(k) = 1 THEN 'all' ELSE k END AS kind, count(*) AS questions FROM (SELECT source AS s, lang AS k FROM documents) GROUP BY GROUPING SETS ((s, k), (s), ())")
+def q_question_counts(spark: SparkSession, d: str) -> DataFrame:
+    return E.question_counts(table(spark, d, "documents").select(F.col("source").alias("suite"), F.col("lang").alias("kind")))
+
+
+@query("""WITH v AS (SELECT source AS probe, quality = 1 AS expect, CASE WHEN doc_id % 50 = 7 THEN NULL ELSE toxic = 0 OR quality = 1 END AS got FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT probe, count(*) AS cases, count_if(coalesce(got = expect, false)) AS "right", count_if(got IS NULL) AS unread, bool_or(expect) AND bool_or(NOT expect) AS complete FROM v GROUP BY probe)
+SELECT probe, cases, complete AND "right" = cases AS passed, "right", unread, complete FROM c""")
+def q_probe_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    got = F.when(F.col("doc_id") % 50 != 7, (F.col("toxic") == 0) | (F.col("quality") == 1))
+    return E.probe_table(rows.select(F.col("source").alias("probe"), (F.col("quality") == 1).alias("expect"), got.alias("got")))
+
+
+@query("""SELECT conv_id, turn, length(t) + 5 AS prompt_tokens, length(t) AS completion_tokens, CASE WHEN trim(t) = '' THEN 'EmptyCompletion: the reply is empty' END AS error,
+ceil((((length(t) + 5) * 0.15::DOUBLE) + 0 * 0.075::DOUBLE + length(t) * 0.6::DOUBLE) / 1000000 * 1000000000)::BIGINT AS nano FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
+def q_metered_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn said again by a stand-in that counts its tokens, with what it costs; the ceiling is off, tests turn it on."""
+    asked = table(spark, d, "conversations").select("conv_id", "turn", answers.messages(F.coalesce("text", F.lit("")), "Echo.").alias("messages"))
+    rows = spending.metered(asked, seams.EchoGenerator(), "gpt-4o-mini")
+    return rows.select("conv_id", "turn", "prompt_tokens", "completion_tokens", "error", F.round(F.col("dollars") * spending.NANO).cast("long").alias("nano"))
+
+
+@query("""SELECT count_if(o = 'accepted') AS accepted, count_if(o = 'skipped') AS skipped, count_if(o = 'rejected') AS rejected, count_if(o = 'failed') AS failed FROM (SELECT CASE WHEN r IS NULL THEN 'failed' WHEN starts_with(ltrim(r), 'SKIP') THEN 'skipped' WHEN length(q) BETWEEN 25 AND 220 THEN 'accepted' ELSE 'rejected' END AS o
+FROM (SELECT CASE WHEN turn % 7 <> 0 THEN CASE WHEN turn % 5 = 0 THEN 'SKIP ' ELSE 'Zq ' END || coalesce(text, '') END AS r, repeat('z', turn * 4) || '?' AS q FROM conversations))""")
+def q_generation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Made-up replies and questions told by a turn's number: some failed, some skipped, some too short or too long."""
+    reply = F.when(F.col("turn") % 7 != 0, F.concat(F.when(F.col("turn") % 5 == 0, "SKIP ").otherwise("Zq "), F.coalesce("text", F.lit(""))))
+    question = F.concat(F.expr("repeat('z', cast(turn * 4 as int))"), F.lit("?"))
+    rows = table(spark, d, "conversations").select(runs.generation_outcome(reply, question, F.coalesce("text", F.lit(""))).alias("outcome"))
+    return runs.generation_report(rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import periods, text
 from tesserae.operators import evaluation as E
 from tesserae.operators import retrieval as R
-from tesserae.operators import runs
+from tesserae.operators import runs, spending
 from tesserae.plans.search import SearchConfig, search
 from tesserae.session import few
 from tesserae.settings import Settings
@@ -130,12 +130,20 @@ def ranked(index: DataFrame, questions: DataFrame, config: RunConfig, embedder:
 
 def execute(
     index: DataFrame, questions: DataFrame, config: RunConfig, embedder: Embedder, generator: Generator, settings: Settings = Settings(),
-    rewriter: Generator | None = None, rerank_score: Column | None = None,
+    rewriter: Generator | None = None, rerank_score: Column | None = None, verifier: Generator | None = None, ceiling: float = 0.0, meter: spending.Meter | None = None,
 ) -> DataFrame:
-    """A record for each question: rewritten if it follows turns, searched, answered. ``questions``: as ``schemas.QUESTION``."""
+    """A record for each question: rewritten if it follows turns, searched, answered. ``questions``: as ``schemas.QUESTION``.
+
+    With a ``verifier``, a ``ceiling`` (dollars) or a ``meter``, answers come from
+    ``spending.verified``, which makes its calls at once; else they are made as the
+    records are computed.
+    """
     asked = standalone(questions, rewriter if config.conversation else None)
     found = ranked(index, asked.select("id", F.col("standalone").alias("text")), config, embedder, settings, rerank_score)
-    records = runs.run_all(questions, found, generator, SYSTEM, config.generation_model, min(config.k, settings.k))
+    answer = None
+    if verifier is not None or ceiling > 0 or meter is not None:
+        answer = lambda rows: spending.verified(rows, generator, config.generation_model, verifier, ceiling, meter=meter)
+    records = runs.run_all(questions, found, generator, SYSTEM, config.generation_model, min(config.k, settings.k), answer)
     said = asked.select(F.col("id").alias("__id"), F.col("standalone").alias("__said"))
     return records.join(said, records["question_id"] == said["__id"]).withColumn("standalone", F.col("__said")).select(*records.columns)
 

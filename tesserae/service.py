@@ -18,10 +18,9 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tesserae.operators import evaluation as E
-from tesserae.operators import jobs, reports, runs
+from tesserae.operators import jobs, reports, runs, spending
 from tesserae.plans import stack
 from tesserae.settings import Settings
 from tesserae.sources import schemas as S
@@ -134,11 +133,10 @@ class App:
     def plan(self, given: dict) -> dict:
         """What a run would ask, cost and need, before it starts."""
         config = self._config(given)
-        spent = E.tokens_per_question(S.frame(self.spark, [], S.RECORD))
-        model = F.lit(config.generation_model)
-        cost = spent.select(E.dollars(F.col("prompt_tokens"), F.col("cached_tokens"), F.col("completion_tokens"), model).alias("d")).first()["d"]
-        n = self.questions().count()
-        return {"config": asdict(config), "questions": n, "dollars": round(n * cost, 6), "ceiling": self.settings.run_ceiling, "checks": [asdict(c) for c in stack.preconditions(self.generator, self.index)]}
+        last = runs.last_run_with(self.spark, self.runs_root, config.generation_model)
+        records = runs.read_run(self.spark, self.runs_root, last)[1] if last else S.frame(self.spark, [], S.RECORD)
+        cost = spending.estimate(E.tokens_per_question(records), config.generation_model, self.questions().count(), last is not None)
+        return {"config": asdict(config), "questions": cost["questions"], "dollars": cost["dollars"], "basis": cost["basis"], "ceiling": self.settings.run_ceiling, "checks": [asdict(c) for c in stack.preconditions(self.generator, self.index)]}
 
     def start(self, given: dict, client: str) -> dict:
         """Begin an evaluation, gated against ``baseline`` (a run's id) if one is given; 403 from afar, 409 while one is under way."""
@@ -161,7 +159,8 @@ class App:
     def evaluate(self, job: jobs.Job, run: str, config: stack.RunConfig, baseline: str | None) -> str:
         """Ask all questions, write the run's folder, then gate it; the records are computed once."""
         job.step(0, "answers")
-        records = stack.execute(self.index(), self.questions(), config, self.embedder, self.generator, self.settings, self.generator).cache()
+        job.watch(meter := spending.Meter(self.spark))
+        records = stack.execute(self.index(), self.questions(), config, self.embedder, self.generator, self.settings, self.generator, ceiling=self.settings.run_ceiling, meter=meter).cache()
         try:
             records.count()
             job.step(1, "folder")

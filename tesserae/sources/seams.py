@@ -30,6 +30,33 @@ class Generator(Protocol):
     def complete(self, messages: Sequence[dict[str, str]]) -> str: ...
 
 
+@dataclass(frozen=True)
+class Usage:
+    """Tokens that a call took; cached ones are part of the prompt."""
+
+    prompt: int
+    completion: int
+    cached: int = 0
+
+
+class StreamingGenerator(Protocol):
+    def stream(self, messages: Sequence[dict[str, str]]) -> Iterator[str | Usage]: ...
+
+
+@dataclass(frozen=True)
+class Reply:
+    """What a call gave: its text, or "" and an error; the usage if the service told it, even of a call that broke off."""
+
+    text: str
+    usage: Usage | None
+    first_ms: float | None
+    error: str | None
+
+
+class EmptyCompletion(RuntimeError):
+    """A reply without a visible character."""
+
+
 @dataclass(frozen=True)
 class FetchResult:
     revisions: list[dict]
@@ -79,6 +106,17 @@ class ExtractiveGenerator:
         return body[start:].split(". ")[0].split("\n</source>")[0].strip().rstrip(".") + " [1]."
 
 
+@dataclass(frozen=True)
+class EchoGenerator:
+    """Says the last message again, in two pieces; a token is a character."""
+
+    def stream(self, messages: Sequence[dict[str, str]]) -> Iterator[str | Usage]:
+        said = messages[-1]["content"]
+        yield Usage(sum(len(m["content"]) for m in messages), len(said))
+        half = len(said) // 2
+        yield from (said[:half], said[half:])
+
+
 @dataclass(frozen=True)
 class FixedSource:
     """Pages from a mapping of titles; ``redirects`` are followed, loops and unknown titles are missing."""
@@ -186,6 +224,23 @@ def generate(rows: DataFrame, generator: Generator, messages: str = "messages",
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
+def spoken(generator: Generator | StreamingGenerator, messages: Sequence[dict[str, str]]) -> Reply:
+    """One call, whole or in pieces; blanks before the first visible piece are no part of the answer, nor is it timed by them."""
+    began, pieces, usage, first, error = time.perf_counter(), [], None, None, None
+    try:
+        for piece in generator.stream(messages) if hasattr(generator, "stream") else iter((generator.complete(messages),)):
+            if isinstance(piece, Usage):
+                usage = piece
+            elif piece := piece if pieces else (piece or "").lstrip():
+                first = first if pieces else 1000 * (time.perf_counter() - began)
+                pieces.append(piece)
+        if not pieces:
+            raise EmptyCompletion("the reply is empty")
+    except Exception as e:  # noqa: BLE001  the reply tells what went wrong
+        error = f"{type(e).__name__}: {e}"
+    return Reply("" if error else "".join(pieces).rstrip(), usage, first, error)
+
+
 def fetch(titles: Iterable[str], source: RevisionSource, batch: int = MAX_TITLES) -> Iterator[FetchResult]:
     titles = list(titles)
     for i in range(0, len(titles), batch):

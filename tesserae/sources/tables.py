@@ -73,7 +73,11 @@ def read_toml(spark: SparkSession, path: str | Path, key: str, ddl: str, require
     """The tables named ``key`` of a TOML file; unknown fields, missing required ones and repeated ids are errors."""
     rows = tomllib.loads(Path(path).read_text(encoding="utf-8")).get(key, [])
     schema = spark.createDataFrame([], ddl).schema
-    names = {f.name for f in schema.fields}
+    _valid(rows, key, {f.name for f in schema.fields}, required, unique)
+    return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
+
+
+def _valid(rows: list[dict], key: str, names: set[str], required: tuple[str, ...], unique: str | None) -> None:
     for i, row in enumerate(rows):
         if extra := set(row) - names:
             raise ValueError(f"{key}[{i}]: unknown fields {sorted(extra)}")
@@ -81,16 +85,19 @@ def read_toml(spark: SparkSession, path: str | Path, key: str, ddl: str, require
             raise ValueError(f"{key}[{i}]: missing {lacking}")
     if unique and len({r[unique] for r in rows}) < len(rows):
         raise ValueError(f"{key}: {unique} isn't unique")
-    return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
 
 
 def toml_questions(rows: list[dict]) -> str:
-    """Generated questions as TOML; read it back to validate it."""
-    quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    """Generated questions as TOML, read back by the rules of ``read_toml`` and held against what was given."""
+    control = {i: f"\\u{i:04x}" for i in (*range(32), 127)}
+    quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"').translate(control) + '"'
     out = []
     for r in rows:
         lines = ["[[question]]", *(f"{k} = [{', '.join(map(quote, v))}]" if isinstance(v, list) else f"{k} = {quote(v)}" for k, v in r.items())]
         out.append("\n".join(lines))
     text = "\n\n".join(out) + "\n"
-    tomllib.loads(text)
+    again = tomllib.loads(text).get("question", [])
+    _valid(again, "question", {n.split()[0] for n in S.QUESTION.split(", ")}, ("id", "kind", "text"), "id")
+    if again != rows:
+        raise ValueError("questions don't survive being written")
     return text
