@@ -34,6 +34,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     min(most * size, L * weight), found from the running sums of the sources in
     the order in which they stop. The windows see a row for each source.
     """
+    return _goal(sizes, weights, share, most).drop("budget")
+
+
+def _goal(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """``targets`` with the ``budget``, which all targets sum up to: from sums of whole numbers, so the same in any order."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     one = W.partitionBy(F.lit(0))
     turn = (F.row_number().over(one.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
@@ -49,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     stops = F.col("cap") <= F.col("level") * F.col("weight")
     per = per.withColumn("end_level", F.min(F.when(~stops, F.struct("nth", "level"))).over(one)["level"])
     target = F.when(F.col("end_level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("end_level") * F.col("weight")))
-    return per.select("source", "source_size", target.alias("target"))
+    return per.select("source", "source_size", target.alias("target"), "budget")
 
 
 def _few(goal: DataFrame, bound: int = 100_000) -> bool:
@@ -67,13 +72,12 @@ def _finish(turn: Column) -> Column:
     return (F.col("upto") + turn * F.col("source_size")) / F.col("target")
 
 
-def _cut(rows: DataFrame, most: int, buckets: int) -> tuple[float, int]:
-    """The last finish time, with its tie-break, that the total budget reaches in the order of finish times.
+def _cut(rows: DataFrame, total: float, most: int, buckets: int) -> tuple[float, int]:
+    """The last finish time, with its tie-break, that the budget ``total`` reaches in the order of finish times.
 
     Sums of words in buckets of finish times find the bucket in which the budget
     ends; only that bucket is ordered row by row. Scalars alone come to the driver.
     """
-    total = float(rows.select("source", "target").distinct().agg(F.sum("target")).first()[0] or 0)
     every = _passes(rows, most).withColumn("__b", F.floor(F.col("finish") * buckets))
     w = W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
     upto = every.groupBy("__b").agg(F.sum("size").alias("__n")).withColumn("__upto", F.sum("__n").over(w))
@@ -103,13 +107,15 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sized = pick(docs, doc_id="long", source="string", text="string").select("doc_id", "source", words_in(F.col("text")).alias("size"))
     sized = checkpoint(sized)
     buckets = 8 * (sized.count() // BUCKET_ROWS + 1)
-    goal = targets(sized, weights, share, most).withColumnRenamed("source", "__s")
+    goal = checkpoint(_goal(sized, weights, share, most)).withColumnRenamed("source", "__s")
+    total = float(goal.agg(F.max("budget")).first()[0] or 0)
+    goal = goal.drop("budget")
     rows = sized.withColumn("order_key", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1))
     rows = rows.withColumn("__b", F.floor(F.col("order_key") / F.lit(float(2**63)) * buckets))
     rows = running(rows, ["source"], "__b", [F.col("order_key"), F.col("doc_id"), F.col("size")], "size", "upto")
     rows = rows.join(F.broadcast(goal) if _few(goal) else goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "__b")
     rows = checkpoint(rows)
-    time, key = _cut(rows, most, max(64, buckets))
+    time, key = _cut(rows, total, most, max(64, buckets))
     before = F.lit(0)
     for turn in range(most):
         finish = _finish(F.lit(turn))
