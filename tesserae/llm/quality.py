@@ -195,7 +195,7 @@ def _edges(near: DataFrame) -> DataFrame:
     sums = near.groupBy("grp", "start", "class").agg(F.count("*").alias("n"))
     w = W.partitionBy("grp", "start")
     sums = sums.withColumn("upto", F.sum("n").over(w.orderBy("class").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    return checkpoint(sums.where(F.col("upto") >= F.col("all") * SUPPORT).groupBy("grp", "start").agg(F.min("class").alias("edge")))
+    return sums.where(F.col("upto") >= F.col("all") * SUPPORT).groupBy("grp", "start").agg(F.min("class").alias("edge"))
 
 
 def estimates(good: DataFrame, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
