@@ -176,11 +176,12 @@ def gate(baseline: DataFrame, candidate: DataFrame, key: str = "suite") -> DataF
     return rows.select(key, "name", "baseline", "candidate", rule.alias("rule"), status.alias("status"))
 
 
-def sweep(pools: DataFrame, configs: DataFrame, keys: DataFrame, k: int = 20) -> DataFrame:
+def sweep(pools: DataFrame, configs: DataFrame, keys: DataFrame, k: int = 20, asked: DataFrame | None = None) -> DataFrame:
     """Recall at 5 and 20 and MRR of each fusion config over pools that were fetched once.
 
     ``pools``: qid, id, rank, arm (0 dense, 1 sparse); ``configs``: config, weight,
-    rrf_k; ``keys``: qid, id. Weight 0 leaves the dense order.
+    rrf_k; ``keys``: qid, id. Weight 0 leaves the dense order. With ``asked``, the qid
+    of every question that has a key, ``keys`` need only hold those in the pools.
     """
     rows = pools.join(sent(configs))  # as many copies of the pools as there are configs
     w = F.when(F.col("arm") == 0, F.lit(1.0)).otherwise(F.col("weight"))
@@ -188,7 +189,7 @@ def sweep(pools: DataFrame, configs: DataFrame, keys: DataFrame, k: int = 20) ->
     order = W.partitionBy("config", "qid").orderBy(F.desc("fused"), "tie", "id")
     ranked = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     hits = ranked.join(keys, ["qid", "id"]).groupBy("config", "qid").agg(F.min("rank").alias("first"))
-    asked = keys.select("qid").distinct().join(sent(configs.select("config")))
+    asked = (keys if asked is None else asked).select("qid").distinct().join(sent(configs.select("config")))
     each = asked.join(hits, ["config", "qid"], "left")
     share = lambda d: F.avg((F.coalesce("first", F.lit(10**6)) <= d).cast("double"))
     return each.groupBy("config").agg(F.count("*").alias("questions"), share(5).alias("recall_at_5"), share(20).alias("recall_at_20"), F.avg(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0))).alias("mrr"))

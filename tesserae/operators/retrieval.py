@@ -1,7 +1,7 @@
 """Ranked retrieval. Lists are tables with an explicit ``rank`` from 1; every order ends in an id.
 
-Questions are few and go to the tasks that hold the documents, behind a check of
-their number; documents and vectors are never moved but for what matches.
+Questions go to the tasks that hold the documents, behind a check of their number
+or in groups; documents are never moved but for what matches.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tesserae.functions.periods import agreement
 from tesserae.functions.text import tokenize
 from tesserae.functions.vectors import cosine
 from tesserae.operators.intervals import meeting
+from tesserae.operators.nearest import candidates
 from tesserae.session import few
 
 K1, B = 1.5, 0.75
@@ -95,22 +96,35 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = K, k1: float = K1,
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = K, where: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """``qid, id, score, rank``: exact cosine. ``vectors``: id, vector; ``questions``: qid, query. ``where`` may use both sides' columns.
 
-    Every question is held against every vector, which is what exact search is:
-    the questions go to each task (their number is checked) and vectors stay.
+    Every question is held against every vector, which is what exact search is, by
+    products of blocks (`operators/nearest.py`). Questions that are null or hold a null,
+    and a ``where``, go through the expression.
     """
-    pairs = vectors.join(_small(questions), where if where is not None else F.lit(True))
+    if where is None:
+        return _nearest(vectors, questions, k, carry, (), None)
+    pairs = vectors.join(_small(questions), where)
     scored = pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score"), *carry)
     return top(scored, k, F.desc("score"), F.asc("id"))
 
 
+def _nearest(vectors: DataFrame, questions: DataFrame, k: int, carry: Sequence[str], given: Sequence[str], spans: tuple[Sequence[str], Sequence[str]] | None) -> DataFrame:
+    whole = F.coalesce(~F.exists("query", lambda x: x.isNull()), F.lit(False))
+    found = candidates(vectors, questions.where(whole), k, carry, given, spans).withColumnRenamed("cosine", "score")
+    odd = questions.where(~whole)
+    if not odd.isEmpty():
+        pairs = vectors.join(_small(odd), F.lit(True)) if spans is None else meeting(vectors, odd, *spans)
+        found = found.unionByName(pairs.select("qid", "id", *carry, *given, cosine(F.col("vector"), F.col("query")).alias("score")))
+    return top(found.select("qid", "id", F.round("score", DIGITS).alias("score"), *carry, *given), k, F.desc("score"), F.asc("id"))
+
+
 def within_topk(vectors: DataFrame, questions: DataFrame, k: int = K) -> DataFrame:
     """Exact cosine among vectors whose span meets the question's: ``year_start, year_end`` against ``start, end``; undated ones never do.
 
-    Spans are joined by tiles, so only pairs that meet are made.
+    Spans are compared beside the products of blocks; those with a null end or that run backwards meet nothing.
     """
-    pairs = meeting(vectors.select("id", "vector", "year_start", "year_end"), questions.select("qid", "query", "start", "end"), ("year_start", "year_end"), ("start", "end"))
-    scored = pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), DIGITS).alias("score"), "year_start", "year_end", "start", "end")
-    return top(scored, k, F.desc("score"), F.asc("id"))
+    spans = (("year_start", "year_end"), ("start", "end"))
+    dated = vectors.select("id", "vector", *spans[0]).where("year_start <= year_end")
+    return _nearest(dated, questions.select("qid", "query", *spans[1]).where("start <= end"), k, spans[0], spans[1], spans)
 
 
 def temporal_reorder(ranked: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tesserae.operators import evaluation as E
 from tesserae.operators import retrieval as R
 from tesserae.plans.catalogue import inline, query, values
 from tesserae.plans.catalogue_retrieval import BM25, VEC, docs, questions, vector_questions, vectors
-from tesserae.session import sent, table
+from tesserae.session import sent, shared_folder, table
 from tesserae.sources import seams
 
 
@@ -120,8 +120,13 @@ def q_sweep(spark: SparkSession, d: str) -> DataFrame:
     sparse = R.bm25_topk(docs(spark, d), questions(spark, d).withColumn("qid", F.col("qid") * 50), 50).select("qid", "id", "rank", F.lit(1).alias("arm"))
     configs = inline(spark, [("dense", 0.0, 60), ("half", 0.5, 60), ("equal", 1.0, 60), ("sharp", 1.0, 10)], "config string, weight double, rrf_k int")
     e = table(spark, d, "embeddings")
-    keys = sent(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")).join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("qid", "id")
-    rows = E.sweep(dense.unionByName(sparse), configs, keys)
+    labelled = e.where("vec_id % 50 = 0 and label is not null").select(F.col("vec_id").alias("qid"), F.col("label").alias("wanted"))
+    path = shared_folder(spark, "pools")
+    dense.unionByName(sparse).write.parquet(path)  # fetched once, read twice
+    pools = spark.read.parquet(path)
+    found = pools.select("qid", "id").distinct().join(labelled, "qid")  # a question's keys are all vectors of its label: those in its pools are looked up
+    keys = e.select(F.col("vec_id").alias("id"), "label").join(found, "id").where("label = wanted").select("qid", "id")
+    rows = E.sweep(pools, configs, keys, asked=labelled)
     return rows.select("config", "questions", *(F.round(c, 6).alias(c) for c in ("recall_at_5", "recall_at_20", "mrr")))
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import index as X
+from tesserae.operators import nearest
 from tesserae.operators import retrieval as R
 from tesserae.operators.intervals import meeting
 from tesserae.plans import catalogue  # noqa: F401
@@ -154,3 +155,36 @@ def test_a_page_that_becomes_a_redirect_loses_its_chunks(spark, tmp_path):
     tables.append_bronze(S.frame(spark, [(1, "T1", "T1", "t", 2, later, "#REDIRECT [[T2]]", later, "x")], S.BRONZE), bronze)
     I.drain(I.index_new(spark, bronze, gold, checkpoint))
     assert {r["page_id"] for r in spark.read.parquet(gold).collect()} == {2}
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark):
+    """Copies, nulls, zeros, other lengths, infinities and numbers that overflow or vanish, with spans of all kinds."""
+    rng = np.random.default_rng(5)
+    x = [[float(v) for v in rng.integers(-3, 4, 6)] for _ in range(60)] + [[1.0, 2.0, 3.0, 0.0, 0.0, 1.0]] * 40
+    x += [None, None, [0.0] * 6, [1.0, 2.0], [], [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], [1e200] * 6, [1e-200] * 6, [-1e-170, 1.0, 0.0, 0.0, 0.0, 0.0]]
+    spans = [(None if i % 9 == 0 else i % 13, i % 13 + i % 5 - (i % 11 == 0)) for i in range(len(x))]
+    return spark.createDataFrame([(997 * i % 1009, v, *s) for i, (v, s) in enumerate(zip(x, spans))], "id long, vector array<double>, year_start int, year_end int").repartition(3).cache()
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_blocks_are_the_expression(spark, odd_vectors, k, monkeypatch):
+    monkeypatch.setattr(nearest, "GROUP", 30)  # several groups of questions
+    asked = odd_vectors.select(F.col("id").alias("qid"), F.col("vector").alias("query"), F.col("year_start").alias("start"), F.col("year_end").alias("end"))
+    told = lambda df: sorted((tuple(str(v) for v in r) for r in df.select("qid", "id", "score", "rank").collect()))
+    pairs = odd_vectors.select("id", "vector")
+    assert told(R.dense_topk(pairs, asked.select("qid", "query"), k)) == told(R.dense_topk(pairs, asked.select("qid", "query"), k, where=F.lit(True)))
+    meet = (F.col("year_start") <= F.col("end")) & (F.col("year_end") >= F.col("start")) & (F.col("start") <= F.col("end")) & (F.col("year_start") <= F.col("year_end"))
+    assert told(R.within_topk(odd_vectors, asked, k)) == told(R.dense_topk(odd_vectors, asked, k, where=meet))
+
+
+def test_blocks_round_as_spark(spark):
+    x = [0.1234565, -0.1234565, 0.0000005, 0.9999995, 1.0, 0.3333333333, 0.12345649999999999, 2.5e-7, -0.0]
+    df = spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 6))
+    assert [r[0] for r in df.collect()] == nearest.rounded(np.array(x)).tolist()
+
+
+def test_dense_plans_have_no_product_of_rows(spark):
+    for name in ("q_dense_topk", "q_dense_within", "q_rrf_hybrid", "q_search_dense"):
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan and "list_cosine" not in plan and "MapInArrow" in plan, name
