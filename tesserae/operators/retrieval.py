@@ -17,6 +17,7 @@ from tesserae.functions.text import tokenize
 from tesserae.functions.vectors import cosine
 from tesserae.operators.intervals import meeting
 from tesserae.operators.nearest import candidates
+from tesserae.operators.scoring import best_scores
 from tesserae.session import few
 
 K1, B = 1.5, 0.75
@@ -79,17 +80,21 @@ def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = K, k1: float = K1,
 
     The corpus is cut into tokens for its statistics and for the postings of the
     asked terms. Document frequencies are taken from the same exchange of postings
-    that the scores are, and only each task's best rows are exchanged after it.
+    that the scores are, and only the best rows of each group of documents are
+    exchanged after it (`operators/scoring.py`). Questions with more terms than may
+    go to every task are joined.
     """
     wanted = query_terms(questions)
     n, average = corpus_stats(docs)
+    if few(wanted):
+        found = best_scores(docs, tokenize(F.col("text")), wanted.toArrow(), dict(wanted.dtypes)["qid"], k, n, average, k1, b)
+        return top(found.withColumn("score", F.round("score", DIGITS)), k, F.desc("score"), F.asc("id"))
     found = postings(docs, wanted)
     # counting tf keeps the exchange the same in both branches, so it is made once
     df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     asked = wanted.join(df, "term").select("qid", "term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     rated = found.withColumn("weight", tf_weight(F.col("tf"), F.col("length"), average, k1, b)).select("term", "id", "weight")
-    held = F.broadcast(asked) if few(wanted) else asked
-    scored = rated.join(held, "term").groupBy("id", "qid").agg(F.round(F.sum(F.col("weight") * F.col("idf")), DIGITS).alias("score"))
+    scored = rated.join(asked, "term").groupBy("id", "qid").agg(F.round(F.sum(F.col("weight") * F.col("idf")), DIGITS).alias("score"))
     return top(scored.select("qid", "id", "score"), k, F.desc("score"), F.asc("id"))
 
 
