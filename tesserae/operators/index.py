@@ -13,18 +13,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import tokenize
-from tesserae.functions.vectors import cosine
 from tesserae.operators import retrieval as R
+from tesserae.operators.nearest import in_lists, nearest_lists
 from tesserae.session import few
 
 #: Vectors that centroids are fitted on at most, and that the number of lists to search is measured with.
 SAMPLE, MEASURED = 20_000, 256
 #: Documents of a range, and folders that terms are dealt to.
 RANGE_BITS, TERM_BUCKETS = 7, 64
+#: Documents whose blocks are made at once.
+WORK = 2048
 
 
 def _write_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -46,7 +49,7 @@ def _nearest(rows: DataFrame, centroids: np.ndarray, vector: str, keep: int | No
         for batch in batches:
             x = batch.column(vector).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
             near = x @ c.T
-            told = pa.array(near.argmax(axis=1).astype(np.int32)) if keep is None else pa.array(np.argsort(-near, axis=1, kind="stable")[:, :keep].astype(np.int32).tolist(), pa.list_(pa.int32()))
+            told = pa.array(near.argmax(axis=1).astype(np.int32)) if keep is None else pa.array(nearest_lists(x, c, keep).astype(np.int32).tolist(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, told], [*batch.schema.names, "list" if keep is None else "lists"])
 
     return rows.mapInArrow(run, out)
@@ -109,23 +112,54 @@ def search_vector_lists(spark: SparkSession, path: str, questions: DataFrame, k:
     if not about["rows"]:
         return spark.createDataFrame([], "qid long, id long, score double, rank int")
     centroids = np.array([r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("list").collect()])  # 4,096 at most
-    asked = _nearest(questions.select("qid", "query"), centroids, "query", probes).select("qid", "query", F.explode("lists").alias("list"))
-    needed = sorted(r["list"] for r in asked.select("list").distinct().collect())
-    stored = spark.read.parquet(f"{path}/lists").where(F.col("list").isin(needed)).select("id", "vector", "list")
-    pairs = stored.join(F.broadcast(asked) if few(questions, 200_000 // probes) else asked, "list")
-    return R.top(pairs.select("qid", "id", F.round(cosine(F.col("vector"), F.col("query")), R.DIGITS).alias("score")), k, F.desc("score"), F.asc("id"))
+    stored = spark.read.parquet(f"{path}/lists").select("id", "vector", "list")
+    if probes == about["lists"]:
+        return R.dense_topk(stored, questions.select("qid", "query"), k)
+    near = _nearest(questions.select("qid", "query"), centroids, "query", probes).select(F.explode("lists").alias("list")).distinct()
+    needed = sorted(r["list"] for r in near.collect())  # 4,096 at most
+    if len(needed) < about["lists"]:
+        stored = stored.where(F.col("list").isin(needed))
+    found = in_lists(stored, questions, k, centroids, probes)
+    return R.top(found.select("qid", "id", F.round("cosine", R.DIGITS).alias("score")), k, F.desc("score"), F.asc("id"))
+
+
+def _blocks(rows: pa.RecordBatch, average: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """``term, range, most, n, postings`` of some documents: their first 128 are a range, and so on; a range is named after its first document."""
+    ids, tokens, numbers = rows.columns
+    lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = tokens.flatten().dictionary_encode()
+    if not len(words):
+        return
+    width, height = len(words.dictionary), 1 << RANGE_BITS
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+    keys, tf = np.unique(((doc >> RANGE_BITS) * width + words.indices.to_numpy().astype(np.int64)) * height + doc % height, return_counts=True)
+    block, doc = keys // height, (keys // height // width) * height + keys % height
+    penalty = k1 * ((1 - b) + b * lengths[doc] / average) if average > 0 else float(k1)
+    weight = tf * (k1 + 1) / (tf + penalty)
+    begins = np.flatnonzero(np.r_[True, np.diff(block) != 0])
+    ends = np.r_[begins, len(block)].astype(np.int32)
+    postings = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(weight)], ["id", "weight"]))
+    first = numbers.to_numpy()[(block[begins] // width) * height]
+    columns = [words.dictionary.take(pa.array(block[begins] % width)), pa.array(first), pa.array(np.maximum.reduceat(weight, begins)), pa.array(np.diff(ends).astype(np.int64)), postings]
+    yield pa.RecordBatch.from_arrays(columns, ["term", "range", "most", "n", "postings"])
 
 
 def build_term_blocks(docs: DataFrame, path: str, k1: float = R.K1, b: float = R.B) -> dict:
-    """Writes the postings of ``id, text`` below ``path``: a row for each term and range of 128 documents, dealt to folders by term."""
+    """Writes the postings of ``id, text`` below ``path``: a row for each term and range of 128 documents, dealt to folders by term.
+
+    A range's documents are neighbours where they are read, so its blocks are made there; only they are exchanged.
+    """
     spark = docs.sparkSession
-    rows = docs.select("id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"), F.shiftright(F.monotonically_increasing_id(), RANGE_BITS).alias("range"))
-    rows.write.parquet(f"{path}/tokens")  # ranges stay what they are, however the corpus is read again
-    rows = spark.read.schema(rows.schema).parquet(f"{path}/tokens")
-    n, average = rows.agg(F.count("*"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0))).first()
-    each = rows.select("id", "range", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "range", "id", "length").agg(F.count("*").alias("tf"))
-    weighted = each.withColumn("weight", R.tf_weight(F.col("tf"), F.col("length"), float(average), k1, b))
-    blocks = weighted.groupBy("term", "range").agg(F.max("weight").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("id", "weight")).alias("postings"))  # 128 at most
+    n, average = R.corpus_stats(docs)
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in (batch.slice(i, WORK) for i in range(0, batch.num_rows, WORK)):
+                yield from _blocks(rows, average, k1, b)
+
+    rows = docs.select("id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("tokens"), F.monotonically_increasing_id().alias("range"))
+    blocks = rows.mapInArrow(run, f"term string, range long, most double, n long, postings array<struct<id:{kind},weight:double>>")  # 128 postings at most
     folder = F.pmod(F.crc32("term"), F.lit(TERM_BUCKETS)).cast("int")
     blocks.withColumn("folder", folder).hint("rebalance", "folder").sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{path}/blocks")
     about = {"documents": n, "average": average}

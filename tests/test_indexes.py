@@ -188,3 +188,25 @@ def test_dense_plans_have_no_product_of_rows(spark):
     for name in ("q_dense_topk", "q_dense_within", "q_rrf_hybrid", "q_search_dense"):
         plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "list_cosine" not in plan and "MapInArrow" in plan, name
+
+
+def test_lists_are_searched_by_blocks(spark, tmp_path, clustered):
+    """Some lists of each question, against the same told row by row; no row of a question and a list is exchanged."""
+    path = str(tmp_path / "v")
+    about = X.build_vector_lists(clustered, path, k=10, lists=20)
+    asked = clustered.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("query"))
+    centroids = np.array([r["centroid"] for r in spark.read.parquet(f"{path}/centroids").orderBy("list").collect()])
+    pairs = spark.createDataFrame([(r["qid"], int(i)) for r in asked.collect() for i in nearest.nearest_lists(np.array([r["query"]]), centroids, 3)[0]], "qid long, list int")
+    stored = spark.read.parquet(f"{path}/lists").join(pairs, "list").withColumnRenamed("qid", "of")
+    found = X.search_vector_lists(spark, path, asked, 10, 3)
+    assert about["lists"] == 20 and rows(found) == rows(R.dense_topk(stored, asked, 10, where=F.col("of") == F.col("qid")))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_blocks_are_made_where_documents_are_read(spark, tmp_path):
+    docs = spark.range(0, 900, 1, 3).select("id", F.concat_ws(" ", F.lit("a b"), F.expr("repeat('c ', cast(id % 5 as int))"), F.concat(F.lit("d"), F.col("id") % 7)).alias("text"))
+    X.build_term_blocks(docs, str(tmp_path / "t"))
+    blocks = spark.read.parquet(str(tmp_path / "t" / "blocks"))
+    assert not (tmp_path / "t" / "tokens").exists()  # the corpus isn't written again
+    assert blocks.groupBy("range").count().count() == 9 and blocks.agg(F.max(F.size("postings"))).first()[0] == 128
+    assert {r["term"]: r["n"] for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}["c"] == 720
