@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import tokenize
 from tesserae.operators import retrieval as R
 from tesserae.operators.nearest import in_lists, nearest_lists
-from tesserae.session import few
+from tesserae.operators.scoring import best_of_ranges
+from tesserae.session import few, sent
 
 #: Vectors that centroids are fitted on at most, and that the number of lists to search is measured with.
 SAMPLE, MEASURED = 20_000, 256
@@ -186,15 +187,25 @@ def search_term_blocks(spark: SparkSession, path: str, questions: DataFrame, k:
     heads = blocks.select("term", "range", "most", "n").join(F.broadcast(wanted.select("term").distinct()) if held else wanted.select("term").distinct(), "term")
     idf = heads.groupBy("term").agg(F.sum("n").alias("df")).select("term", F.log(1 + (F.lit(about["documents"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     rated = asked.join(idf, "term")
-    bounds = heads.join(F.broadcast(rated) if held else rated, "term").groupBy("qid", "range").agg(F.sum(F.col("most") * F.col("idf")).alias("bound"))
+    if held:
+        told = rated.select("qid", "term", "idf").toArrow()  # no more rows than the questions have terms
+        rated = F.broadcast(spark.createDataFrame(told, rated.select("qid", "term", "idf").schema))
+    bounds = heads.join(rated, "term").groupBy("qid", "range").agg(F.sum(F.col("most") * F.col("idf")).alias("bound"))
     ranked = R.top(bounds, None, F.desc("bound"), F.asc("range"))
-
-    def scored(chosen: DataFrame) -> DataFrame:
+    kind = dict(questions.dtypes)["qid"]
+
+    def scored(chosen: DataFrame, some: bool = False) -> DataFrame:
+        """A document's postings all lie in its range, so of each range only the best rows of a question are exchanged further."""
+        if held:
+            needed = blocks.select("term", "range", "postings").join(F.broadcast(rated.select("term").distinct()), "term")
+            if some:
+                needed = needed.join(sent(chosen.select("range").distinct(), questions, k), "range", "left_semi")
+            return best_of_ranges(needed, chosen.select("qid", "range"), told, kind, k).withColumn("score", F.round("score", R.DIGITS))
         pairs = rated.join(chosen.select("qid", "range"), "qid")
         found = blocks.select("term", "range", "postings").join(pairs, ["term", "range"]).select("qid", "idf", F.explode("postings").alias("p"))
         return found.groupBy("qid", F.col("p.id").alias("id")).agg(F.round(F.sum(F.col("p.weight") * F.col("idf")), R.DIGITS).alias("score"))
 
-    first = scored(ranked.where(F.col("rank") <= k))
+    first = scored(ranked.where(F.col("rank") <= k), some=True)
     best = R.top(first, k, F.desc("score"), F.asc("id"))
     threshold = best.where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     rest = ranked.where(F.col("rank") > k).join(threshold, "qid", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - 10.0**-R.DIGITS)

@@ -84,6 +84,29 @@ def _best(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return table["row"].to_numpy()[keep], table["q"].to_numpy()[keep]
 
 
+def _ranked(ids: pa.Array, of: np.ndarray, code: np.ndarray, weight: np.ndarray, questions: pa.Array, asked: np.ndarray, code_of: np.ndarray, idf: np.ndarray, k: int) -> pa.Table:
+    """The best ``k`` documents of each question; postings by document, questions' terms as places in ``questions``, codes and ``idf``."""
+    out = []
+    for first in range(0, len(questions), BLOCK):
+        mine = (asked >= first) & (asked < first + BLOCK)
+        used, place = np.unique(code_of[mine], return_inverse=True)
+        wants = np.zeros((len(used), min(BLOCK, len(questions) - first)))
+        wants[place, asked[mine] - first] = idf[mine]
+        at = np.minimum(np.searchsorted(used, code), max(len(used) - 1, 0))
+        for low in range(0, len(ids), CUT):  # a product of some documents at a time
+            here = (of >= low) & (of < low + CUT)
+            here[here] = used[at[here]] == code[here] if len(used) else False
+            scores = np.zeros((min(CUT, len(ids) - low), wants.shape[1]))
+            docs_here, at_here, w = of[here] - low, at[here], weight[here]
+            begins = np.searchsorted(docs_here, np.arange(len(scores) + 1))
+            for i in np.flatnonzero(np.diff(begins)):
+                s = slice(begins[i], begins[i + 1])
+                scores[i] = w[s] @ wants[at_here[s]]
+            row, column = _best(ids.slice(low, len(scores)), scores, k)
+            out.append(pa.table({"qid": questions.take(pa.array(column + first)), "id": ids.take(pa.array(row + low)), "score": scores[row, column]}))
+    return pa.concat_tables(out) if out else pa.table({"qid": questions.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+
+
 def best_scores(docs: DataFrame, tokens: Column, wanted: pa.Table, kind: str, k: int, n: int, average: float, k1: float, b: float) -> DataFrame:
     """``qid, id, score`` (not rounded): all of each question's ``k`` best, and some more. ``wanted``: qid, term, for ``n`` documents."""
     terms = pc.unique(wanted["term"].combine_chunks())
@@ -104,24 +127,32 @@ def best_scores(docs: DataFrame, tokens: Column, wanted: pa.Table, kind: str, k:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         penalty = k1 * ((1 - b) + b * length / average) if average > 0 else float(k1)
         weight = tf * (k1 + 1) / (tf + penalty)
-        out = []
-        for first in range(0, len(questions), BLOCK):
-            mine = (asked >= first) & (asked < first + BLOCK)
-            used, place = np.unique(code_of[mine], return_inverse=True)
-            wants = np.zeros((len(used), min(BLOCK, len(questions) - first)))
-            wants[place, asked[mine] - first] = idf[code_of[mine]]
-            at = np.minimum(np.searchsorted(used, code), max(len(used) - 1, 0))
-            for low in range(0, len(ids), CUT):  # a product of some documents at a time
-                here = (of >= low) & (of < low + CUT)
-                here[here] = used[at[here]] == code[here] if len(used) else False
-                scores = np.zeros((min(CUT, len(ids) - low), wants.shape[1]))
-                docs_here, at_here, w = of[here] - low, at[here], weight[here]
-                begins = np.searchsorted(docs_here, np.arange(len(scores) + 1))
-                for i in np.flatnonzero(np.diff(begins)):
-                    s = slice(begins[i], begins[i + 1])
-                    scores[i] = w[s] @ wants[at_here[s]]
-                row, column = _best(ids.slice(low, len(scores)), scores, k)
-                out.append(pa.table({"qid": questions.take(pa.array(column + first)), "id": ids.take(pa.array(row + low)), "score": scores[row, column]}))
-        return pa.concat_tables(out) if out else pa.table({"qid": questions.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        return _ranked(ids, of, code, weight, questions, asked, code_of, idf[code_of], k)
 
     return each.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(run, f"qid {kind}, id {dict(docs.dtypes)['id']}, score double")
+
+
+def best_of_ranges(blocks: DataFrame, chosen: DataFrame, rated: pa.Table, kind: str, k: int) -> DataFrame:
+    """``qid, id, score`` (not rounded): the best ``k`` of each question in each range ``chosen`` for it.
+
+    ``blocks``: term, range, postings, where all postings of a document lie in one
+    range; ``chosen``: qid, range; ``rated``: qid, term, idf.
+    """
+    terms = pc.unique(rated["term"].combine_chunks())
+    qids = rated["qid"].combine_chunks().dictionary_encode(null_encoding="encode")
+    of_term = pc.index_in(rated["term"].combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = blocks.sparkSession.sparkContext.broadcast((terms, qids.dictionary, qids.indices.to_numpy(zero_copy_only=False).astype(np.int64), of_term, rated["idf"].to_numpy()))
+    inner = dict(blocks.select(F.col("postings.id").alias("id")).dtypes)["id"][len("array<") : -1]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, questions, asked, code_of, idf = held.value
+        lists = left["postings"].combine_chunks()
+        flat = lists.flatten()
+        ids = flat.field("id").dictionary_encode(null_encoding="encode")
+        of = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = np.repeat(pc.index_in(left["term"].combine_chunks(), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        order = np.lexsort((code, of))
+        mine = np.isin(asked, pc.index_in(right["qid"].combine_chunks(), value_set=questions).to_numpy(zero_copy_only=False))
+        return _ranked(ids.dictionary, of[order], code[order], flat.field("weight").to_numpy()[order], questions, asked[mine], code_of[mine], idf[mine], k)
+
+    return blocks.groupBy("range").cogroup(chosen.select("qid", F.col("range").alias("of_range")).groupBy("of_range")).applyInArrow(run, f"qid {kind}, id {inner}, score double")
