@@ -17,7 +17,7 @@ from tesserae.functions.text import tokenize
 from tesserae.functions.vectors import cosine
 from tesserae.operators.intervals import meeting
 from tesserae.operators.nearest import candidates
-from tesserae.operators.scoring import best_scores
+from tesserae.operators.scoring import best_scores, term_counts
 from tesserae.session import few
 
 K1, B = 1.5, 0.75
@@ -50,10 +50,21 @@ def corpus_stats(docs: DataFrame) -> tuple[int, float]:
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``term, id, tf, length`` from ``id, text``; with ``terms``, of those alone, so only matches are exchanged."""
+    """``term, id, length, tf`` from ``id, text``; with ``terms``, of those alone, so only matches are exchanged.
+
+    Rows that agree in id and length are one document. Without ``terms`` a row is
+    counted where it is read; only ids are exchanged, to find those that come more
+    than once, and the postings of these.
+    """
+    if terms is None:
+        again = docs.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+        if again.isEmpty():
+            return term_counts(docs, tokenize(F.col("text")))
+        again, same = _small(again), F.col("id").eqNullSafe(F.col("__id"))
+        each = term_counts(docs.join(again, same, "left_anti"), tokenize(F.col("text")))
+        return each.unionByName(term_counts(docs.join(again, same, "left_semi"), tokenize(F.col("text"))).groupBy("term", "id", "length").agg(F.sum("tf").alias("tf")))
     rows = docs.select("id", tokenize(F.col("text")).alias("tokens")).select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(_small(terms.select("term").distinct()), "term")
+    rows = rows.join(_small(terms.select("term").distinct()), "term")
     return rows.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
 
 

@@ -16,10 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.batches import pieces
 from tesserae.operators.nearest import MARGIN, first_of, rounded
 
 #: Documents of a group on average, questions that are scored at once, documents of a product.
 DOCUMENTS, BLOCK, CUT = 4000, 256, 6000
+#: Tokens that are counted at once.
+TOKENS = 500_000
 
 
 def counted(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,6 +34,25 @@ def counted(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return keys // max(len(terms), 1), keys % max(len(terms), 1), tf
 
 
+def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """``term, id, length, tf`` of each row by itself, counted where it is read; nothing is exchanged."""
+    kind = dict(docs.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), TOKENS):
+                ids, cut = batch.columns
+                lengths = pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False)
+                words = cut.flatten().dictionary_encode()
+                n = max(len(words.dictionary), 1)
+                keys, tf = np.unique(np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) * n + words.indices.to_numpy(), return_counts=True)
+                at = keys // n
+                columns = [words.dictionary.take(pa.array(keys % n)), ids.take(pa.array(at)), pa.array(lengths[at].astype(np.int32)), pa.array(tf.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["term", "id", "length", "tf"])
+
+    return docs.select("id", tokens.alias("tokens")).mapInArrow(run, f"term string, id {kind}, length int, tf long")
+
+
 def _lists(at: np.ndarray, rows: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
     sizes = np.bincount(at, minlength=n)[rows]
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32)))

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import text
 from tesserae.operators import index as X
-from tesserae.operators import nearest
+from tesserae.operators import nearest, scoring
 from tesserae.operators import retrieval as R
 from tesserae.operators.intervals import meeting
 from tesserae.plans import catalogue  # noqa: F401
@@ -210,3 +211,17 @@ def test_term_blocks_are_made_where_documents_are_read(spark, tmp_path):
     assert not (tmp_path / "t" / "tokens").exists()  # the corpus isn't written again
     assert blocks.groupBy("range").count().count() == 9 and blocks.agg(F.max(F.size("postings"))).first()[0] == 128
     assert {r["term"]: r["n"] for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}["c"] == 720
+
+
+def test_postings_are_counted_where_documents_are_read(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "TOKENS", 7)
+    texts = [(1, "a b a"), (2, "b"), (3, None), (4, ""), (5, "Ä ä c, c"), (None, "a a"), (6, "long " * 40 + "a")]
+    told = lambda d: sorted((tuple(r) for r in R.postings(d).select("term", "id", "length", "tf").collect()), key=str)
+    once = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    assert told(once) == sorted([("a", 1, 3, 2), ("b", 1, 3, 1), ("b", 2, 1, 1), ("ä", 5, 4, 2), ("c", 5, 4, 2), ("a", None, 2, 2), ("long", 6, 41, 40), ("a", 6, 41, 1)], key=str)
+    weighted, _, stats = R.bm25_index(once)
+    assert "Exchange" not in weighted._jdf.queryExecution().executedPlan().toString() and stats == (7, 51 / 7)
+    again = once.union(spark.createDataFrame([(1, "a c d"), (1, "a"), (None, "b a")], once.schema))  # ids that repeat, and null ones
+    want = again.select("id", F.size(text.tokenize(F.col("text"))).alias("length"), F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("term", "id", "length").count()
+    assert told(again) == sorted((tuple(r) for r in want.select("term", "id", "length", "count").collect()), key=str)
+    assert told(once.limit(0)) == []
