@@ -89,17 +89,16 @@ def query_terms(questions: DataFrame) -> DataFrame:
 def bm25_topk(docs: DataFrame, questions: DataFrame, k: int = K, k1: float = K1, b: float = B) -> DataFrame:
     """``qid, id, score, rank``: documents that share a term, by rounded BM25, then id. ``docs``: id, text; ``questions``: qid, text.
 
-    The corpus is cut into tokens for its statistics and for the postings of the
-    asked terms. Document frequencies are taken from the same exchange of postings
-    that the scores are, and only the best rows of each group of documents are
-    exchanged after it (`operators/scoring.py`). Questions with more terms than may
-    go to every task are joined.
+    The corpus is cut into tokens once: its mean length and document frequencies are
+    taken from the same exchange of asked terms that the scores are, and only the best
+    rows of each group of documents are exchanged after it (`operators/scoring.py`).
+    Questions with more terms than may go to every task are joined.
     """
     wanted = query_terms(questions)
-    n, average = corpus_stats(docs)
     if few(wanted):
-        found = best_scores(docs, tokenize(F.col("text")), wanted.toArrow(), dict(wanted.dtypes)["qid"], k, n, average, k1, b)
+        found = best_scores(docs, tokenize(F.col("text")), wanted.toArrow(), dict(wanted.dtypes)["qid"], k, docs.count(), k1, b)
         return top(found.withColumn("score", F.round("score", DIGITS)), k, F.desc("score"), F.asc("id"))
+    n, average = corpus_stats(docs)
     found = postings(docs, wanted)
     # counting tf keeps the exchange the same in both branches, so it is made once
     df = found.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))

@@ -1,9 +1,10 @@
 """BM25 of all documents against a bounded number of questions, by groups of documents.
 
 A document's tokens are counted where it is read, those of asked terms alone are
-exchanged, by groups of some thousand documents. From this one exchange come the
-document frequencies and the scores; a group's scores are products with its
-questions' terms, and only its best rows leave it.
+exchanged with its length, by groups of some thousand documents. From this one exchange
+come the mean length, the document frequencies and the scores, so texts are cut into
+tokens once; a group's scores are products with its questions' terms, and only its
+best rows leave it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tesserae.operators.nearest import MARGIN, first_of, rounded
 DOCUMENTS, BLOCK, CUT = 4000, 256, 6000
 #: Tokens that are counted at once.
 TOKENS = 500_000
+#: In place of a term's code: the tokens of all documents.
+ALL = -1
 
 
 def counted(tokens: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,24 +56,22 @@ def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
     return docs.select("id", tokens.alias("tokens")).mapInArrow(run, f"term string, id {kind}, length int, tf long")
 
 
-def _lists(at: np.ndarray, rows: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
-    sizes = np.bincount(at, minlength=n)[rows]
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32)))
+def _lists(at: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=n))].astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def asked_counts(docs: DataFrame, tokens: Column, terms: pa.Array, groups: int) -> DataFrame:
-    """``part, id, length, codes, tfs`` of the documents that hold an asked term."""
+    """``part, id, length, codes, tfs`` of all documents; the lists are empty where no term is asked."""
     held = docs.sparkSession.sparkContext.broadcast(terms)
     kind = dict(docs.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, ids, cut = batch.columns
-            at, codes, tf = counted(cut, held.value)
-            rows = np.unique(at)
-            lengths = pc.list_value_length(cut).take(pa.array(rows)).cast(pa.int32())
-            columns = [part.take(pa.array(rows)), ids.take(pa.array(rows)), lengths, _lists(at, rows, batch.num_rows, codes), _lists(at, rows, batch.num_rows, tf)]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "id", "length", "codes", "tfs"])
+        for whole in batches:
+            for batch in pieces(whole, pc.fill_null(pc.list_value_length(whole.column(2)), 0).to_numpy(zero_copy_only=False), TOKENS):
+                part, ids, cut = batch.columns
+                at, codes, tf = counted(cut, held.value)
+                lengths = pc.fill_null(pc.list_value_length(cut), 0).cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([part, ids, lengths, _lists(at, batch.num_rows, codes), _lists(at, batch.num_rows, tf)], ["part", "id", "length", "codes", "tfs"])
 
     rows = docs.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part"), "id", tokens.alias("tokens"))
     return rows.mapInArrow(run, f"part int, id {kind}, length int, codes array<int>, tfs array<int>")
@@ -93,7 +94,8 @@ def _postings(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nda
 
 def _frequencies(table: pa.Table) -> pa.Table:
     codes, n = np.unique(_postings(table)[3], return_counts=True)
-    return pa.table({"code": pa.array(codes.astype(np.int32)), "df": pa.array(n.astype(np.int64))})
+    n = np.r_[table["length"].to_numpy().sum(dtype=np.int64), n]
+    return pa.table({"code": pa.array(np.r_[ALL, codes].astype(np.int32)), "df": pa.array(n.astype(np.int64))})
 
 
 def _best(ids: pa.Array, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +131,7 @@ def _ranked(ids: pa.Array, of: np.ndarray, code: np.ndarray, weight: np.ndarray,
     return pa.concat_tables(out) if out else pa.table({"qid": questions.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
 
 
-def best_scores(docs: DataFrame, tokens: Column, wanted: pa.Table, kind: str, k: int, n: int, average: float, k1: float, b: float) -> DataFrame:
+def best_scores(docs: DataFrame, tokens: Column, wanted: pa.Table, kind: str, k: int, n: int, k1: float, b: float) -> DataFrame:
     """``qid, id, score`` (not rounded): all of each question's ``k`` best, and some more. ``wanted``: qid, term, for ``n`` documents."""
     terms = pc.unique(wanted["term"].combine_chunks())
     groups = -(-n // DOCUMENTS) or 1
@@ -139,13 +141,15 @@ def best_scores(docs: DataFrame, tokens: Column, wanted: pa.Table, kind: str, k:
     width = len(terms)
     each = asked_counts(docs, tokens, terms, groups)
     found = each.groupBy("part").applyInArrow(_frequencies, "code int, df long").groupBy("code").agg(F.sum("df").alias("df"))
-    known = spark.range(groups).select(F.col("id").cast("int").alias("part")).join(F.broadcast(found))  # the asked terms, for each group
+    known = spark.range(groups).select(F.col("id").cast("int").alias("part")).join(F.broadcast(found))  # the asked terms and the tokens of all, for each group
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         questions, asked, code_of = held.value
         ids, of, length, code, tf = _postings(left)
+        codes, counts = right["code"].to_numpy(), right["df"].to_numpy()
+        average = counts[codes == ALL].sum() / n
         df = np.zeros(width)
-        df[right["code"].to_numpy()] = right["df"].to_numpy()
+        df[codes[codes != ALL]] = counts[codes != ALL]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         penalty = k1 * ((1 - b) + b * length / average) if average > 0 else float(k1)
         weight = tf * (k1 + 1) / (tf + penalty)

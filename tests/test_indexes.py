@@ -225,3 +225,32 @@ def test_postings_are_counted_where_documents_are_read(spark, monkeypatch):
     want = again.select("id", F.size(text.tokenize(F.col("text"))).alias("length"), F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("term", "id", "length").count()
     assert told(again) == sorted((tuple(r) for r in want.select("term", "id", "length", "count").collect()), key=str)
     assert told(once.limit(0)) == []
+
+
+def test_bm25_cuts_each_text_once_and_in_pieces(spark, tmp_path, monkeypatch):
+    texts = [(1, "a b a"), (2, "b"), (3, None), (4, ""), (5, "Ä ä c, c"), (None, "a a"), (6, "long " * 40 + "a"), (1, "a c d"), (1, "b a b"), (7, "x y")]
+    asked = spark.createDataFrame([(1, "a b"), (2, "C ä a a"), (3, "?"), (4, "none"), (None, "long a")], "qid long, text string")
+    spark.createDataFrame(texts, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    plain = spark.read.parquet(str(tmp_path / "d"))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    counted = scoring.counted
+
+    def bounded(tokens, terms):
+        assert len(tokens.flatten()) < 7 + 41  # less than TOKENS and a row more
+        return counted(tokens, terms)
+
+    told = lambda d: sorted((tuple(r) for r in d.collect()), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(R, "few", lambda *_: False)  # the joined form
+        want = told(R.bm25_topk(plain, asked, 2))
+    monkeypatch.setattr(scoring, "TOKENS", 7)
+    monkeypatch.setattr(scoring, "counted", bounded)
+    docs = plain.mapInArrow(seen, "id long, text string")
+    assert told(R.bm25_topk(docs, asked, 2)) == want
+    assert read.value == 2 * len(texts)  # their number, then the texts
