@@ -423,6 +423,34 @@ def test_suffix_dedup_awkward(awkward, nothing):
     assert suffix_dedup.remove(nothing).count() == 0
 
 
+def test_suffix_dedup_looks_at_one_of_equal_texts(spark, shared_passages, monkeypatch):
+    texts, seen, count = shared_passages * 3, [], suffix_dedup.repeated_prefixes
+    monkeypatch.setattr(suffix_dedup, "repeated_prefixes", lambda texts, *a: seen.append(texts.count()) or count(texts, *a))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for few in (suffix_dedup.COPIES, 0):  # sent to the workers, joined
+        monkeypatch.setattr(suffix_dedup, "COPIES", few)
+        rows = suffix_dedup.remove(frame).orderBy("doc_id").collect()
+        assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows] == brute_removal(texts)
+    assert seen == [len({t or "" for t in texts})] * 2
+
+
+def test_group_of_suffixes():
+    r = random.Random(5)
+    grown = lambda stems, most: [(r.choice(stems)[: r.randrange(most + 1)] + bytes(r.choices(b"ab", k=9)))[: r.choice([most, most, r.randrange(most + 1)])] for _ in range(300)]
+    rights, lefts = ([bytes(r.choices(b"ab", k=n)) for _ in range(4)] for n in (124, 124))
+    own = sorted({(bytes([97 + g]) * 76 + x, y) for g in range(3) for x, y in zip(grown(rights, 124), grown(lefts, 124), strict=True)})
+    group = [(x, y, b"k" * 16, 1000 * i, 2 if i % 9 == 4 else 1) for i, (x, y) in enumerate(own)]
+    lcps = [0, *(suffix_dedup.common(a[0], b[0]) for a, b in zip(group, group[1:], strict=False))]
+    wanted = {}
+    for i, a in enumerate(group):
+        pairs = [(suffix_dedup.common(a[1], b[1]), suffix_dedup.common(a[0], b[0])) for b in group if b is not a and b[0][:76] == a[0][:76]]
+        pairs = [(x, y) for x, y in pairs if x + y >= 200]
+        if pairs and a[4] == 1:
+            wanted[i] = (max(x for x, _ in pairs), max(y for _, y in pairs))
+    at, left, right = suffix_dedup._covered(group, lcps)
+    assert dict(zip(at.tolist(), zip(left.tolist(), right.tolist(), strict=True), strict=True)) == wanted and len(wanted) > 100
+
+
 def test_merge_of_runs():
     r = random.Random(2)
     strings = [bytes(r.choices(b"ab", k=r.randrange(12))) for _ in range(300)]
