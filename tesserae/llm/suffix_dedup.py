@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -199,11 +198,8 @@ def repeated_prefixes(texts: DataFrame, parts: int = 1) -> DataFrame:
 def common(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix of two strings that agree on ``known`` bytes."""
     most = min(len(a), len(b))
-    if a[known:most] == b[known:most]:
-        return most
-    while a[known : known + 16] == b[known : known + 16]:
-        known += 16
-    return known + len(commonprefix((a[known : known + 16], b[known : known + 16])))
+    differ = int.from_bytes(a[known:most], "big") ^ int.from_bytes(b[known:most], "big")
+    return most - (differ.bit_length() + 7) // 8
 
 
 Suffix = tuple[bytes, bytes, bytes, int, int]  # after the anchor; before it, reversed; text key; position; occurrences
@@ -302,9 +298,20 @@ def merged(runs: list[tuple[list[Suffix], list[int]]]) -> Iterator[tuple[Suffix,
         else:
             strings[best] = None
         node = (best + size) >> 1
-        while node:
+        x, known = strings[best], lcp[best]
+        while node:  # as in `play`, without a call
             other = losers[node]
-            best, losers[node] = play(best, other)
+            y = strings[other]
+            if y is not None:
+                theirs, lost = lcp[other], x is None
+                if not lost:
+                    lost = theirs > known
+                    if theirs == known:
+                        shared = common(x, y, known)
+                        lost = x[shared : shared + 1] > y[shared : shared + 1]
+                        lcp[best if lost else other] = shared
+                if lost:
+                    losers[node], best, x, known = best, other, y, theirs
             node >>= 1
 
 
